@@ -153,7 +153,8 @@ def apply_line_quality(docs: DataFrame, **options) -> DataFrame:
     verdict = line_quality(docs, **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("gone_lines").alias("_gone")).groupBy("_id").agg(F.any_value("_gone").alias("_gone"))
     kept = docs.join(verdict, F.col("doc_id") == F.col("_id"))
     lines = F.split("text", "\n", -1)
-    text = F.when(F.size("_gone") == 0, F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n"))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone"), lambda i: F.get(lines, i))
+    text = F.when(F.size("_gone") == 0, F.col("text")).otherwise(F.array_join(left, "\n"))
     out = kept.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
