@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, covering_simhash, line_quality, line_templates, substring_dedup, suffix_decontamination, temperature_mixing, token_store
+from . import chat_format, covering_simhash, html_extract, line_quality, line_templates, maxent_lm, substring_dedup, suffix_decontamination, temperature_mixing, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("kept_text")
 
 
+def op3_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score_documents(table(spark, sf_dir, "documents"), folds=10)
+
+
 def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temperature_mixing.mix(table(spark, sf_dir, "documents"), max_repeats=2.0)
 
@@ -47,6 +51,11 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(listing, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.col("loss_text"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_quality.line_quality(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.size("gone_lines").alias("n_common_lines"), "words_left")
@@ -60,10 +69,12 @@ def op10_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_maxent_lm": op3_maxent_lm,
     "op4_temperature_mixing": op4_temperature_mixing,
     "op5_covering_simhash": op5_covering_simhash,
     "op6_line_templates": op6_line_templates,
     "op7_chat_format": op7_chat_format,
+    "op8_html_extract": op8_html_extract,
     "op9_line_quality": op9_line_quality,
     "op10_suffix_decontamination": op10_suffix_decontamination,
 }

@@ -3,8 +3,8 @@
 A source's share of all tokens (words) to the power ``exponent``, normalised, is
 its weight: 1 keeps the shares, 0 makes all sources equal.  The exponent is
 bisected: the smallest in [0, 1] at which no source is repeated more than
-``max_repeats`` times as often as the least repeated one, or the one whose
-weights have ``entropy`` bits.  Each round evaluates the exponents that five
+``max_repeats`` times as often as the least repeated one, or the one in [0, 16]
+whose weights have ``entropy`` bits.  Each round evaluates the exponents that five
 bisections could visit as one aggregation over the table of sources, so the
 sources may be many.
 
@@ -46,7 +46,7 @@ def exponent(sources: DataFrame, max_repeats: float | None = 2.0, entropy: float
     """The exponent that meets the limit on repetition, or the target entropy, for (source, tokens)."""
     total = sources.agg(F.sum("tokens").alias("all")).first()["all"] or 1
     shares = sources.select((F.col("tokens") / F.lit(float(total))).alias("p"))
-    low, high = 0.0, 1.0
+    low, high = 0.0, 1.0 if entropy is None else 16.0
     for _ in range(ROUNDS):
         grid = [low + (high - low) * i / FAN for i in range(FAN + 1)]
         tried = shares.select("p", F.explode(F.array(*[F.lit(x) for x in grid])).alias("a")).withColumn("w", F.pow("p", F.col("a")))
