@@ -49,14 +49,14 @@ class Session:
         status, text = "unavailable", None
         try:
             if e["action"] == "create":
-                self.s = {"text": e["text"], "candidate_ids": list(e["candidate_ids"]), "group_ids": list(e["group_ids"]), "ambiguous": list(e["ambiguous"]), "selected": sorted(e["selected"]), "page": 1, "expires": now + self.ttl}
+                self.s = {"text": e["text"], "candidate_ids": [str(x) for x in e["candidate_ids"]], "group_ids": [str(x) for x in e["group_ids"]], "ambiguous": [bool(x) for x in e["ambiguous"]], "selected": sorted(map(str, e["selected"])), "page": 1, "expires": float(now + self.ttl)}
                 status = "created"
             elif self.s and e["action"] in ("toggle", "page"):
                 if e["action"] == "toggle":
                     self._toggle(int(e["value"]))
                 else:
                     self.s["page"] = int(e["value"])
-                self.s["expires"] = now + self.ttl
+                self.s["expires"] = float(now + self.ttl)
                 status = "shown"
             elif self.s and e["action"] in ("cancel", "apply"):
                 status = {"cancel": "cancelled", "apply": "applied"}[e["action"]]
@@ -88,7 +88,7 @@ def replay(events: DataFrame, ttl: float = TTL_SECONDS, page_size: int = PAGE_SI
 
 
 def answers(events: DataFrame, ttl: float = TTL_SECONDS, page_size: int = PAGE_SIZE) -> DataFrame:
-    """Answers to a stream of events; idle sessions leave the state store."""
+    """Answers to a stream of events; sessions that were idle too long in event time leave the state store."""
     columns = [c.split()[0] for c in ANSWERS.split(", ")]
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -102,10 +102,11 @@ def answers(events: DataFrame, ttl: float = TTL_SECONDS, page_size: int = PAGE_S
                 state.remove()
         else:
             state.update(kept)
-            state.setTimeoutDuration(int(ttl * 1000))
+            state.setTimeoutTimestamp(max(int(session.s["expires"] * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=columns)
 
-    return events.groupBy("session_id").applyInPandasWithState(run, ANSWERS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.withWatermark("at", f"{int(ttl)} seconds")
+    return timed.groupBy("session_id").applyInPandasWithState(run, ANSWERS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def route(messages: DataFrame) -> DataFrame:
