@@ -135,10 +135,7 @@ def links(distinct: DataFrame, staging: Staging, bucket_limit: int = 512) -> Dat
     todo = distinct.select("fp", F.lit(-1).alias("parent"))
     out: DataFrame | None = None
     for depth, masks in enumerate(levels):
-        if depth:
-            children = F.transform(F.sequence(F.col("parent") * 7, F.col("parent") * 7 + 6), lambda i: i)
-        else:
-            children = F.sequence(F.lit(0), F.lit(6))
+        children = F.sequence(F.col("parent") * 7, F.col("parent") * 7 + 6) if depth else F.sequence(F.lit(0), F.lit(6))
         table = F.array(*[F.lit(_as_long(m)) for m in masks])
         keyed = todo.select("fp", F.explode(children).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.element_at(table, F.col("mask") + 1)))
         sizes = keyed.groupBy("mask", "key").agg(F.count("*").alias("size")).where("size > 1")

@@ -64,19 +64,6 @@ def test_line_quality_figures(docs):
     assert all(r.kept == (not r.base_failed) for r in got)
 
 
-def common_lines(rows, max_docs, min_variety):
-    """Brute force, on normalised lines themselves; companions by the operator's hash order."""
-    norm = lambda x: " ".join(low(x).split(" ")).split()
-    texts = {(s, t or "") for _, t, s in rows}
-    where = collections.defaultdict(set)
-    for s, t in texts:
-        own = {tuple(WORD.findall(low(x))) for x in t.split("\n")} - {()}
-        for x in own:
-            where[s, x].add((t, frozenset(own - {x})))
-    assert norm("A b") == ["a", "b"]
-    return where
-
-
 def test_common_lines_go_and_copies_stay(spark):
     r = random.Random(8)
     prose = lambda: " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(25))
@@ -92,8 +79,6 @@ def test_common_lines_go_and_copies_stay(spark):
     assert not got[100].kept and got[100].base_failed
     assert all(got[200 + i].kept and not got[200 + i].gone_lines for i in range(5))
     assert all(got[i].kept for i in [*range(300, 360), *range(400, 450)])
-    depleted = frame(spark, rows + [(500, "subscribe to our list\n" * 1 + "a b c\n" + "Subscribe to our list " * 1 + "\n" + prose()[:60], "h")])
-    assert depleted.count() == len(rows) + 1
     kept = line_quality.apply_line_quality(df, max_docs=20)
     assert kept.columns == df.columns
     texts = {x.doc_id: (x.text, x.n_chars) for x in kept.collect()}
@@ -222,6 +207,21 @@ def test_token_store(docs, tmp_path):
     assert len(digests) == len(set(digests)) < store.places().count()
 
 
+def test_pieces_equal_whole_texts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_store, "REMEMBERED", 300)
+    e = token_store.Encoder(token_store.vocabulary())
+    r = random.Random(1)
+    parts = ["a", "b", "É", "ß", ".", ",", "..", " ", "  ", "\n", "\t", "1", "!", "'s", "don't", "<|endoftext|>", " ", "中", "_", "Wort", "é.", " x,", "x.", "1,", "\U0001f600", "\x1c", "\u00a0"]
+    for _ in range(60):
+        texts = ["".join(r.choices(parts, k=r.randint(0, 30))) for _ in range(40)] + [None, ""]
+        stream, bounds = e.encode(pa.array(texts))
+        for i, t in enumerate(texts):
+            assert stream[bounds[i] : bounds[i + 1]].tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids, t
+        assert len(e.key) <= 300 + 42 * 31
+
+
 def test_crc_moves_on():
     r = np.random.default_rng(2)
     ids = r.integers(0, 50_000, 70_000).astype("<u4")
