@@ -19,7 +19,7 @@ _MUL = 0x9E3779B97F4A7C15 | 1
 _WORD_MUL = 0xD1342543DE82EF95
 _INV = pow(_MUL, -1, 1 << 64)
 _WORD_INV = pow(_WORD_MUL, -1, 1 << 64)
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _BYTE_CODE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
 
@@ -53,7 +53,7 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, SLICE_BYTES + 1)
+            size = 1 << (n - 1).bit_length()
             grown = []
             for base in (self.base, self.inverse):
                 x = np.full(size, base, U64)
@@ -145,6 +145,8 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         hi = max(lo + 1, int(np.searchsorted(ends, before + limit, "right")))
         yield batch.slice(lo, hi - lo)
         lo = hi
+    # workers live on between tasks: what Arrow's pool keeps for later goes back
+    pa.default_memory_pool().release_unused()
 
 
 def find_words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE) -> Words:

@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -167,21 +168,6 @@ def _search(part: pa.RecordBatch, block: Suffixes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(w.per_text, pa.int64()), hits, pa.array(bits, pa.binary())], ["doc_id", "n_words", "hits", "covered"])
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", window: int = 10, block_words: int = 1_000_000) -> Iterator[DataFrame]:
-    """For each block of items, one row per document: its words, its longest matches and a bit for each word hit."""
-    spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long"), "text")
-    for block in blocks(benchmark, item_id, window, block_words):
-        held = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in K.pieces(batch):
-                    yield _search(part, held.value)
-
-        yield source.mapInArrow(run, HITS)
-
-
 DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest int, hits array<struct<item:string,start:int,length:int,item_start:int,item_words:int>>"
 
 
@@ -202,20 +188,39 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def _covered_once(part: pa.RecordBatch) -> pa.RecordBatch:
+    """The column ``covered`` as lists of one, which is how several blocks' bits come together."""
+    one = pa.ListArray.from_arrays(pa.array(range(part.num_rows + 1), pa.int32()), part.column("covered"))
+    return part.set_column(part.schema.get_field_index("covered"), "covered", one)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", window: int = 10, block_words: int = 1_000_000) -> DataFrame:
     """One row per document: words, words hit, items found, verdict, and the longest matches with their places."""
-    parts = list(matches(docs, benchmark, **options))
-    if not parts:
-        nothing = docs.sparkSession.createDataFrame([(0, "")], "item_id long, text string")
-        parts = list(matches(docs, nothing))
-    if len(parts) == 1:
-        merged = parts[0].withColumn("covered", F.array("covered"))
-    else:  # one row per block and document; the key tells repeated ids apart
-        merged = None
-        for p in parts:
-            p = p.withColumn("row", F.monotonically_increasing_id())
-            merged = p if merged is None else merged.unionByName(p)
-        merged = merged.groupBy("row").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.collect_list("covered").alias("covered"))
+    spark = docs.sparkSession
+    source = docs.select(F.col("doc_id").cast("long"), "text")
+    found = blocks(benchmark, item_id, window, block_words)
+    first = next(found, None) or Suffixes([], *_item_words([]), window)
+    second = next(found, None)
+
+    def search(block: Suffixes, whole: bool) -> DataFrame:
+        held = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in K.pieces(batch):
+                    hits = _search(part, held.value)
+                    yield from _digest(iter([_covered_once(hits)])) if whole else [hits]
+
+        return source.mapInArrow(run, DIGEST if whole else HITS)
+
+    if second is None:
+        return search(first, True)
+    merged: DataFrame | None = None
+    for block in chain([first, second], found):
+        # the scan is the same for every block, and so are the numbers of its rows
+        one = search(block, False).withColumn("row", F.monotonically_increasing_id())
+        merged = one if merged is None else merged.unionByName(one)
+    merged = merged.groupBy("row").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.collect_list("covered").alias("covered"))
     return merged.select("doc_id", "n_words", "hits", "covered").mapInArrow(_digest, DIGEST)
 
 
