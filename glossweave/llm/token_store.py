@@ -1,10 +1,10 @@
 """Token ids in a content-addressed store.
 
-Encoding.  Texts are cut before single spaces, the pieces are dictionary-encoded
-by Arrow, each distinct piece is encoded once by the tokenizer and the ids are
-gathered by position.  The byte-level pre-tokenizer never joins across such a
-cut, so this equals encoding the whole text; texts with a space that has white
-space on both sides (or ends the text so) are encoded whole.
+Encoding.  Texts are cut before spaces, each distinct piece is encoded once by the
+tokenizer and the ids are gathered by position.  The byte-level pre-tokenizer
+never joins across such a cut, so this equals encoding the whole text; texts with
+a space that has white space on both sides (or ends the text so) are encoded
+whole.
 
 Format, all under one folder, ids as 16-bit little-endian if the vocabulary
 allows it, else 32-bit:
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -40,13 +41,18 @@ from . import kernels as K
 from .staging import Staging
 
 GEAR_IDS, MIN_IDS, MAX_IDS, MASK_BITS = 16, 64, 2048, 8
-CACHE_PIECES = 400_000
+REMEMBERED = 1_000_000
 _ODD_SPACE = r"[\s\pZ\x{85}\x0b\x1c-\x1f] ([\s\pZ\x{85}\x0b\x1c-\x1f]|$)"
 PACKED = "kind string, key binary, n_ids int, data binary, doc_id long, ends array<int>, digests array<binary>"
 
 
 class Encoder:
-    """A tokenizer that encodes each distinct piece of text once."""
+    """A tokenizer that encodes each distinct piece of text once, as long as it remembers it.
+
+    Memory is a sorted array of pieces' hashes (two of 64 bits, which both have
+    to agree) beside a pool of their ids: a few dozen bytes a piece.  Beyond
+    ``REMEMBERED`` pieces the half that was longest unused is given up.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -54,43 +60,71 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
-        self.known: dict[str, bytes] = {}
+        self.key = np.zeros(0, np.uint64)
+        self.proof = np.zeros(0, np.uint64)
+        self.at = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int32)
+        self.used = np.zeros(0, np.int32)
+        self.pool = np.zeros(0, self.dtype)
+        self.clock = 0
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        code = "I" if self.wide else "H"
+        out: list[bytes] = []
+        for lo in range(0, len(texts), 20_000):
+            out += [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch(texts[lo : lo + 20_000], add_special_tokens=False)]
+        return out
 
-    def _pieces(self, distinct: list[str]) -> list[bytes]:
-        new = [p for p in distinct if p not in self.known]
-        if len(self.known) + len(new) > CACHE_PIECES:
-            self.known.clear()
-            new = distinct
-        for lo in range(0, len(new), 20_000):
-            self.known.update(zip(new[lo : lo + 20_000], self._whole(new[lo : lo + 20_000])))
-        return [self.known[p] for p in distinct]
+    def _learn(self, key: np.ndarray, proof: np.ndarray, texts: list[str]) -> None:
+        """Encode new pieces, whose keys are sorted, and remember them."""
+        ids = self._whole(texts)
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // self.dtype.itemsize
+        at = len(self.pool) + np.cumsum(size, dtype=np.int64) - size
+        place = np.searchsorted(self.key, key)
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), self.dtype)])
+        for name, new in (("key", key), ("proof", proof), ("at", at), ("size", size), ("used", np.full(len(key), self.clock, np.int32))):
+            setattr(self, name, np.insert(getattr(self, name), place, new))
+
+    def _forget(self) -> None:
+        if len(self.key) <= REMEMBERED:
+            return
+        keep = self.used > np.partition(self.used, len(self.used) // 2)[len(self.used) // 2]
+        for name in ("key", "proof", "at", "size", "used"):
+            setattr(self, name, getattr(self, name)[keep])
+        self.pool = self.pool[_spread(self.at, self.size)]
+        self.at = np.cumsum(self.size, dtype=np.int64) - self.size
+
+    def _pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the pool, and numbers of ids, of the pieces."""
+        self.clock += 1
+        self._forget()
+        key = K.byte_hash(data, starts, ends)
+        proof = K.byte_hash(data ^ np.uint8(0x5A), starts, ends)
+        distinct, first, which = np.unique(key, return_index=True, return_inverse=True)
+        if (proof[first][which] != proof).any():
+            raise RuntimeError("two pieces of text share a 64-bit hash")
+        place = np.minimum(np.searchsorted(self.key, distinct), max(len(self.key) - 1, 0))
+        known = (self.key[place] == distinct) if len(self.key) else np.zeros(len(distinct), bool)
+        if (self.proof[place[known]] != proof[first[known]]).any():
+            raise RuntimeError("two pieces of text share a 64-bit hash")
+        new = first[~known]
+        raw = data.tobytes()
+        self._learn(distinct[~known], proof[new], [raw[x:y].decode() for x, y in zip(starts[new].tolist(), ends[new].tolist())])
+        place = np.searchsorted(self.key, distinct)
+        self.used[place] = self.clock
+        return self.at[place][which], self.size[place][which]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and where each text begins in it."""
         n = len(column)
         column = pc.fill_null(column, "")
         odd = pc.match_substring_regex(column, _ODD_SPACE).to_numpy(zero_copy_only=False)
-        plain = pc.if_else(pa.array(odd), "", column)
-        parts = pc.split_pattern(plain, " ")
-        offsets = parts.offsets.to_numpy().astype(np.int64)
-        flat = parts.flatten()
-        offsets = offsets - offsets[0]
-        leading = np.ones(len(flat), bool)
-        leading[offsets[:-1]] = False
-        flat = pc.binary_join_element_wise(pc.if_else(pa.array(leading), " ", ""), flat, "")
-        coded = flat.dictionary_encode()
-        ids = [np.frombuffer(b, self.dtype) for b in self._pieces(coded.dictionary.to_pylist())]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        at = np.cumsum(sizes) - sizes
-        pool = np.concatenate(ids) if ids else np.zeros(0, self.dtype)
-        index = coded.indices.to_numpy()
-        lengths = sizes[index]
-        ends = np.cumsum(lengths)
-        stream = pool[np.repeat(at[index] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends])[offsets]
+        plain = pc.if_else(pa.array(odd), "", column) if odd.any() else column
+        data, offsets = K.buffers(plain)
+        starts = np.union1d(np.flatnonzero(data == 0x20), offsets[:-1][np.diff(offsets) > 0])
+        at, size = self._pieces(data, starts, np.append(starts[1:], len(data))) if len(starts) else (np.zeros(0, np.int64),) * 2
+        stream = self.pool[_spread(at, size)]
+        bounds = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[np.searchsorted(starts, offsets)]
         if odd.any():
             whole = dict(zip(np.flatnonzero(odd).tolist(), self._whole(column.filter(pa.array(odd)).to_pylist())))
             each = [np.frombuffer(whole[i], self.dtype) if i in whole else stream[bounds[i] : bounds[i + 1]] for i in range(n)]
@@ -99,6 +133,13 @@ class Encoder:
         return stream, bounds
 
 
+def _spread(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices of the ranges that begin at ``at``, one after the other."""
+    ends = np.cumsum(size, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat((at - (ends - size)).astype(np.int32), size) + np.arange(total, dtype=np.int32)
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -215,6 +256,10 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 RECIPES = "part int, start long, doc_id long, n_ids int, ends array<int>, digests array<binary>, root binary"
 
 
+def _packed(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    return spark.read.schema(PACKED).parquet(f"{folder}/packed").where(F.col("kind") == kind)
+
+
 def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> None:
     """Encode every document and write chunks, recipes and parts under ``folder``.
 
@@ -226,7 +271,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     unique = packed.repartition(partitions, "key").dropDuplicates(["key"])
     unique.write.mode("overwrite").option("compression", "zstd").partitionBy("kind").parquet(f"{folder}/packed")
-    recipes = spark.read.schema(PACKED.replace("kind string, ", "")).parquet(f"{folder}/packed/kind=recipe")
+    recipes = _packed(spark, folder, "recipe")
     ordered = recipes.select("doc_id", "n_ids", "ends", "digests").repartitionByRange(partitions, F.col("doc_id").asc_nulls_first(), F.col("digests")[0]).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("digests")[0])
     ordered.withColumn("part", F.spark_partition_id()).mapInArrow(_number, RECIPES).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/recipes")
     written = spark.read.schema(RECIPES).parquet(f"{folder}/recipes")
@@ -245,7 +290,7 @@ class Store:
     """A written store, for reading."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        chunks = spark.read.schema(PACKED.replace("kind string, ", "")).parquet(f"{folder}/packed/kind=chunk")
+        chunks = _packed(spark, folder, "chunk")
         self.chunks = chunks.select(F.col("key").alias("digest"), "n_ids", "data")
         parts = spark.read.parquet(f"{folder}/parts")
         recipes = spark.read.schema(RECIPES).parquet(f"{folder}/recipes")
