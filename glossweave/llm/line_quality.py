@@ -2,12 +2,15 @@
 
 Lines are normalised (A-Z lower-cased, words joined by one space) and hashed.
 Per host, a line is *common* if it stands in more than ``max_docs`` distinct
-texts and in varied company: exact copies are one text, and of a text's other
-lines the smallest hash is the line's companion there; a common line has at
-least ``min_variety`` companions per text.  So the lines of a group of near
-copies, which keep the same company, are not taken for boilerplate.  Common
-lines go; a document left with fewer than ``min_words`` words, or less than
-``min_share`` of them, is depleted and rejected.
+texts (exact copies are one) and in varied company, at least ``min_variety``
+different ones per text.  A text's company is the smallest hash of five words in
+a row in those of its lines that stand in no more texts than that; so blocks of
+boilerplate lines don't hide one another, and near copies, whose edited lines
+still share most runs of words, keep one company.  Where such own lines are less
+than ``min_share`` of the words, a text that is a copy but for them can't be told
+from boilerplate by them; there a line's company is the smallest hash of the
+text's other lines.  Common lines go; a document left with fewer than
+``min_words`` words, or less than ``min_share`` of them, is depleted and rejected.
 
 Nulls and empty texts have no words and fail the base rules.  A null host is a
 host of its own.  Repeated rows (same id) are judged row by row on the text.
@@ -29,10 +32,11 @@ from .staging import Staging
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 WINDOW = 8
+RUN = 5
 
 STATS = (
     "doc_id long, host string, text_key long, n_words long, word_chars long, n_symbols long, "
-    "n_dup_lines long, n_repeat_words long, lines array<struct<no:int,h:long,companion:long,words:int>>"
+    "n_dup_lines long, n_repeat_words long, lines array<struct<no:int,h:long,companion:long,run:long,words:int>>"
 )
 
 
@@ -89,10 +93,16 @@ def _measure(part: pa.RecordBatch) -> pa.RecordBatch:
     second = np.zeros(n, np.int64)
     second[count > 1] = us[first[count > 1] + 1]
     companion = np.where(lh == low[line_text], second[line_text], low[line_text])
+    # the smallest run of words of each line; a shorter line is its own
+    run = lh.copy()
+    long = np.flatnonzero(w1 - w0 >= RUN)
+    if len(long):
+        g = np.append(K.signed(K.grams(h, RUN)), np.iinfo(np.int64).max)
+        run[long] = np.minimum.reduceat(g, np.stack([w0[long], w1[long] - RUN + 1], 1).ravel())[::2]
     per = np.bincount(line_text, minlength=n)
     lines = pa.ListArray.from_arrays(
         pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()),
-        pa.StructArray.from_arrays([pa.array(line_no, pa.int32()), pa.array(lh), pa.array(companion), pa.array(w1 - w0, pa.int32())], ["no", "h", "companion", "words"]),
+        pa.StructArray.from_arrays([pa.array(line_no, pa.int32()), pa.array(lh), pa.array(companion), pa.array(run), pa.array(w1 - w0, pa.int32())], ["no", "h", "companion", "run", "words"]),
     )
     chars = lead[words.ends] - lead[words.starts]
     symbols = np.zeros(len(data) + 1, np.int64)
@@ -116,24 +126,35 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col(host).alias("host"), "text").mapInArrow(run, STATS)
 
 
-def common_lines(stats: DataFrame, max_docs: int, min_variety: float) -> DataFrame:
+def common_lines(stats: DataFrame, max_docs: int, min_variety: float, min_share: float) -> DataFrame:
     """(host, h) of the lines above the limits.
 
-    Counting goes by (host, line, companion) first, so no host and no line is
-    brought together in one task before it is down to a count.
+    Counting goes by (host, line, company), so no host and no line is brought
+    together in one task before it is down to a count.
     """
     texts = stats.groupBy("host", "text_key").agg(F.any_value("lines").alias("lines"))
-    pairs = texts.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x.h.alias("h"), x.companion.alias("companion"))))).alias("x")).select("host", "x.h", "x.companion")
-    by_company = pairs.groupBy("host", "h", "companion").agg(F.count("*").alias("n"))
-    counts = by_company.groupBy("host", "h").agg(F.sum("n").alias("docs"), F.count("*").alias("company"))
-    return counts.where((F.col("docs") > max_docs) & (F.col("company") >= F.col("docs") * min_variety)).select("host", "h")
+    hashes = texts.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x.h))).alias("h"))
+    often = hashes.groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs)
+    often = often.select(F.col("host").alias("_host"), F.col("h").alias("_h"))
+    lines = texts.select("host", "text_key", F.explode("lines").alias("x")).select("host", "text_key", "x.h", "x.companion", "x.run", "x.words")
+    marked = lines.join(often, F.col("host").eqNullSafe(F.col("_host")) & (F.col("h") == F.col("_h")), "left")
+    own, of_often = F.col("_h").isNull(), F.col("_h").isNotNull()
+    by_text = marked.groupBy("host", "text_key").agg(
+        F.sum("words").alias("words"), F.coalesce(F.sum(F.when(own, F.col("words"))), F.lit(0)).alias("own"), F.min(F.when(own, F.col("run"))).alias("run"),
+        F.collect_set(F.when(of_often, F.struct("h", "companion"))).alias("often"),
+    )
+    company = F.when(F.col("own") >= F.col("words") * min_share, F.col("run")).otherwise(F.col("x.companion"))
+    pairs = by_text.select("host", "words", "own", "run", F.explode("often").alias("x")).select("host", "x.h", company.alias("company"))
+    by_company = pairs.groupBy("host", "h", "company").agg(F.count("*").alias("n"))
+    counts = by_company.groupBy("host", "h").agg(F.sum("n").alias("docs"), F.count("*").alias("companies"))
+    return counts.where(F.col("companies") >= F.col("docs") * min_variety).select("host", "h")
 
 
 def line_quality(docs: DataFrame, host: str = "source", max_docs: int = 20, min_variety: float = 0.5, min_words: int = 20, min_share: float = 0.2, max_repeat_percent: int = 30, staging: Staging | None = None) -> DataFrame:
     """One row per input row: base figures, verdict, words left and numbers of the removed lines."""
     staging = staging or Staging(docs.sparkSession, "line_quality")
     stats = staging.write(measure(docs, host).withColumn("row", F.monotonically_increasing_id()), "stats")
-    common = common_lines(stats, max_docs, min_variety)
+    common = common_lines(stats, max_docs, min_variety, min_share)
     lines = stats.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.h", "x.no", "x.words")
     same = (lines.host.eqNullSafe(common.host)) & (lines.h == common.h)
     gone = lines.join(common, same, "left_semi").groupBy("row").agg(F.sum("words").alias("gone_words"), F.sort_array(F.collect_list("no")).alias("gone_lines"))
