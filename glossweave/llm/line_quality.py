@@ -13,7 +13,7 @@ text's other lines.  Common lines go; a document left with fewer than
 ``min_words`` words, or less than ``min_share`` of them, is depleted and rejected.
 
 Nulls and empty texts have no words and fail the base rules.  A null host is a
-host of its own.  Repeated rows (same id) are judged row by row on the text.
+host of its own.  Rows that share an id, or have none, are judged row by row on the text.
 Other columns of the input are ignored.
 """
 
@@ -108,9 +108,8 @@ def _measure(part: pa.RecordBatch) -> pa.RecordBatch:
     symbols = np.zeros(len(data) + 1, np.int64)
     np.cumsum(SYMBOL[data], out=symbols[1:])
     longs = [words.per_text, K.per_text(chars, words.first), symbols[offsets[1:]] - symbols[offsets[:-1]], dups, repeat_words]
-    key = K.signed(K.byte_hash(data, offsets[:-1], offsets[1:]))
     return pa.RecordBatch.from_arrays(
-        [part.column("doc_id"), part.column("host"), pa.array(key), *(pa.array(np.asarray(x, np.int64)) for x in longs), lines],
+        [part.column("doc_id"), part.column("host"), part.column("text_key"), *(pa.array(np.asarray(x, np.int64)) for x in longs), lines],
         ["doc_id", "host", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"],
     )
 
@@ -123,7 +122,7 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
             for part in K.pieces(batch):
                 yield _measure(part)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(host).alias("host"), "text").mapInArrow(run, STATS)
+    return docs.select(F.col("doc_id").cast("long"), F.col(host).cast("string").alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text").mapInArrow(run, STATS)
 
 
 def common_lines(stats: DataFrame, max_docs: int, min_variety: float, min_share: float) -> DataFrame:
@@ -150,29 +149,39 @@ def common_lines(stats: DataFrame, max_docs: int, min_variety: float, min_share:
     return counts.where(F.col("companies") >= F.col("docs") * min_variety).select("host", "h")
 
 
-def line_quality(docs: DataFrame, host: str = "source", max_docs: int = 20, min_variety: float = 0.5, min_words: int = 20, min_share: float = 0.2, max_repeat_percent: int = 30, staging: Staging | None = None) -> DataFrame:
-    """One row per input row: base figures, verdict, words left and numbers of the removed lines."""
+def _judged(docs: DataFrame, host: str = "source", max_docs: int = 20, min_variety: float = 0.5, min_words: int = 20, min_share: float = 0.2, max_repeat_percent: int = 30, staging: Staging | None = None) -> DataFrame:
+    """What ``line_quality`` gives, with host and text key."""
     staging = staging or Staging(docs.sparkSession, "line_quality")
     stats = staging.write(measure(docs, host).withColumn("row", F.monotonically_increasing_id()), "stats")
     common = common_lines(stats, max_docs, min_variety, min_share)
     lines = stats.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.h", "x.no", "x.words")
     same = (lines.host.eqNullSafe(common.host)) & (lines.h == common.h)
     gone = lines.join(common, same, "left_semi").groupBy("row").agg(F.sum("words").alias("gone_words"), F.sort_array(F.collect_list("no")).alias("gone_lines"))
-    out = stats.drop("lines", "text_key").join(gone, "row", "left")
+    out = stats.drop("lines").join(gone, "row", "left")
     left = F.col("n_words") - F.coalesce("gone_words", F.lit(0))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     depleted = (left < min_words) | (left < F.col("n_words") * min_share)
     return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "host", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), left.alias("words_left"),
         F.coalesce("gone_lines", F.array().cast("array<int>")).alias("gone_lines"),
     )
 
 
-def apply_line_quality(docs: DataFrame, **options) -> DataFrame:
-    """The documents that are kept, without their common lines; the columns stay the same."""
-    verdict = line_quality(docs, **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("gone_lines").alias("_gone")).groupBy("_id").agg(F.any_value("_gone").alias("_gone"))
-    kept = docs.join(verdict, F.col("doc_id") == F.col("_id"))
+def line_quality(docs: DataFrame, **options) -> DataFrame:
+    """One row per input row: base figures, verdict, words left and numbers of the removed lines."""
+    return _judged(docs, **options).drop("host", "text_key")
+
+
+def apply_line_quality(docs: DataFrame, host: str = "source", **options) -> DataFrame:
+    """The documents that are kept, without their common lines; the columns stay the same.
+
+    The verdict goes to rows by id, host and text, so rows without an id and rows that share one are judged each.
+    """
+    kept = _judged(docs, host=host, **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_key").alias("_of"), F.col("gone_lines").alias("_gone"))
+    verdict = kept.groupBy("_id", "_host", "_of").agg(F.any_value("_gone").alias("_gone"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col(host).cast("string").eqNullSafe(F.col("_host")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_of"))
+    kept = docs.join(verdict, same)
     lines = F.split("text", "\n", -1)
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone"), lambda i: F.get(lines, i))
     text = F.when(F.size("_gone") == 0, F.col("text")).otherwise(F.array_join(left, "\n"))

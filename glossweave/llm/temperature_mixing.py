@@ -83,8 +83,7 @@ def weights(docs: DataFrame, source: str = "source", max_repeats: float | None =
     return weighed.select("source", "docs", "tokens", "share", "weight", F.when(F.abs(quota - F.col("tokens")) <= 1, F.col("tokens")).otherwise(quota).alias("quota")).withColumn("passes", F.col("quota") / F.col("tokens"))
 
 
-def mix(docs: DataFrame, source: str = "source", blocks: int = 64, seed: int = 17, ranges: int = 256, max_repeats: float | None = 2.0, entropy: float | None = None, budget_tokens: int | None = None, staging: Staging | None = None) -> DataFrame:
-    """The placed rows: id, source, tokens, pass, block and key; a document stands once for each pass that takes it."""
+def _placed(docs: DataFrame, source: str = "source", blocks: int = 64, seed: int = 17, ranges: int = 256, max_repeats: float | None = 2.0, entropy: float | None = None, budget_tokens: int | None = None, staging: Staging | None = None) -> DataFrame:
     staging = staging or Staging(docs.sparkSession, "mixing")
     table = staging.write(weights(docs, source, max_repeats, entropy, budget_tokens, staging), "weights")
     rows = docs.select("doc_id", F.col(source).alias("source"), n_words().alias("tokens"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
@@ -92,7 +91,7 @@ def mix(docs: DataFrame, source: str = "source", blocks: int = 64, seed: int = 1
     placed = rows.join(table.select(F.col("source").alias("s"), F.col("tokens").alias("source_tokens"), "quota"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     last = F.ceil(F.col("quota") / F.col("source_tokens")).cast("int")
     each = placed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.greatest(last - 1, F.lit(0))))).where("quota > 0")
-    each = each.withColumn("key", key(seed, F.col("pass"), F.col("doc_id"), F.col("digest"))).drop("digest")
+    each = each.withColumn("key", key(seed, F.col("pass"), F.col("doc_id"), F.col("digest")))
     each = staging.write(each.withColumn("range", (F.col("key") / F.lit((1 << 60) // ranges)).cast("int")), "placed")
     # only a source's last pass can be cut short
     sums = each.groupBy("source", "pass", "range").agg(F.sum("tokens").alias("n"))
@@ -104,14 +103,20 @@ def mix(docs: DataFrame, source: str = "source", blocks: int = 64, seed: int = 1
     found = ranked.join(starts, same).select(ranked["*"], starts.before)
     at = F.col("pass") * F.col("source_tokens") + F.col("before") + F.col("within")
     block = F.least(F.floor(at * blocks / F.col("quota")), F.lit(blocks - 1)).cast("int")
-    return found.where(at < F.col("quota")).select("doc_id", "source", "tokens", "pass", block.alias("block"), "key")
+    return found.where(at < F.col("quota")).select("doc_id", "source", "tokens", "pass", block.alias("block"), "key", "digest")
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """The placed rows: id, source, tokens, pass, block and key; a document stands once for each pass that takes it."""
+    return _placed(docs, **options).drop("digest")
 
 
-def apply_mixing(docs: DataFrame, **options) -> DataFrame:
+def apply_mixing(docs: DataFrame, source: str = "source", **options) -> DataFrame:
     """The documents, each as often as it was placed; the columns stay the same.
 
-    Rows that share an id are copies of one document; rows without one go.
+    Rows that share id, text and source are copies of one document; an id may be null.
     """
-    times = mix(docs, **options).groupBy("doc_id").agg(F.count("*").alias("_times")).withColumnRenamed("doc_id", "_id")
-    kept = docs.dropDuplicates(["doc_id"]).join(times, F.col("doc_id") == F.col("_id"))
+    times = _placed(docs, source=source, **options).groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_of"), F.col("source").alias("_from")).agg(F.count("*").alias("_times"))
+    rows = docs.withColumns({"_text": F.md5(F.coalesce("text", F.lit(""))), "_source": F.col(source)}).dropDuplicates(["doc_id", "_text", "_source"])
+    kept = rows.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_of")) & F.col("_source").eqNullSafe(F.col("_from")))
     return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
