@@ -337,6 +337,12 @@ def message_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").where(~F.col("text").contains("_")).select("conv_id", "turn", F.md5(presentation.to_html(F.col("text"))).alias("digest"))
 
 
+@query()
+def message_html_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message; DuckDB's expressions have no look-around for the italics rule, so a test compares with brute force."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(presentation.to_html(F.col("text"))).alias("digest"))
+
+
 def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A session for each conversation: created, then a click per turn, with idle gaps."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), "conv_id", "turn")
