@@ -323,7 +323,7 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def best_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     allowed = [".html", ".xlsx"]
     pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", web.extension(F.col("url")).alias("extension"), web.safe_stem(F.col("url")).alias("stem"), web.best_link(F.array(F.lit("/a.txt"), F.lit("b/c.html"), F.lit("d.xlsx?x=1")), F.col("url"), allowed).alias("best"))
+    return pages.select("page_id", web.extension(F.col("url")).alias("extension"), web.safe_stem(F.col("url")).alias("stem"), web.best_link(web.hrefs(F.col("html")), F.col("url"), allowed).alias("best"))
 
 
 @query()
