@@ -2,7 +2,10 @@
 
 A batch of texts is one byte buffer with document offsets; words, n-grams and
 lines are index arrays into it, so that no Python object is made per word.
-Hashes are 64-bit polynomials modulo 2**64, finished by a bijective mixer.
+A range is hashed as the sum of its values, each times a random odd number that
+belongs to its place in the range, modulo 2**64, finished by a bijective mixer.
+(A polynomial would take structured words of 1,024 letters for one.)  N-grams, of
+at most a few dozen words, are polynomials of words' hashes.
 """
 
 from __future__ import annotations
@@ -15,10 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-_MUL = 0x9E3779B97F4A7C15 | 1
 _WORD_MUL = 0xD1342543DE82EF95
-_INV = pow(_MUL, -1, 1 << 64)
-_WORD_INV = pow(_WORD_MUL, -1, 1 << 64)
 SLICE_BYTES = 1 << 20
 
 _BYTE_CODE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
@@ -44,41 +44,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse, grown on demand."""
+_PLACES = mix(np.arange(1 << 16).astype(U64) * U64(0x9E3779B97F4A7C15) + U64(0x6A09E667F3BCC908)) | U64(1)
 
-    def __init__(self, base: int, inverse: int):
-        self.base, self.inverse = base, inverse
-        self.up = self.down = np.ones(1, U64)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            grown = []
-            for base in (self.base, self.inverse):
-                x = np.full(size, base, U64)
-                x[0] = 1
-                grown.append(np.multiply.accumulate(x))
-            if size > 4 * SLICE_BYTES:  # of one very long text: not kept
-                return grown[0], grown[1]
-            self.up, self.down = grown
-        return self.up, self.down
+def _places(n: int) -> np.ndarray:
+    """A random odd number for each place."""
+    if n <= len(_PLACES):
+        return _PLACES
+    return mix(np.arange(n).astype(U64) * U64(0x9E3779B97F4A7C15) + U64(0x6A09E667F3BCC908)) | U64(1)
 
 
-_BYTES, _WORDS = _Powers(_MUL, _INV), _Powers(_WORD_MUL, _WORD_INV)
-
-
-def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: _Powers = _WORDS) -> np.ndarray:
-    """Hash of ``values[start:end]`` for each pair, independent of where the range stands."""
-    up, down = powers.upto(len(values) + 1)
-    total = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
+def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of ``values[start:end]`` for ascending ranges that don't overlap, independent of where a range stands."""
+    if not len(starts):
+        return np.zeros(0, U64)
+    size = ends - starts
+    done = np.cumsum(size)
+    place = np.arange(int(done[-1])) - np.repeat(done - size, size)
+    gaps = int(starts[0]) != 0 or int(done[-1]) != int(ends[-1])
+    inner = values[place + np.repeat(starts, size)] if gaps else values[: int(ends[-1])]
+    total = np.zeros(len(inner) + 1, U64)
+    np.cumsum(inner * _places(int(size.max()))[place], out=total[1:])
+    return mix(total[done] - total[done - size] + size.astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
 def byte_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each byte range."""
-    return range_hash(_BYTE_CODE[data], starts, ends, _BYTES)
+    """Hash of each byte range; ranges as for `range_hash`."""
+    return range_hash(_BYTE_CODE[data], starts, ends)
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
@@ -161,6 +153,13 @@ def find_words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SP
     return Words(starts, ends, np.searchsorted(starts, offsets))
 
 
+def spread(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices of the ranges that begin at ``at``, one after the other."""
+    ends = np.cumsum(size, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(at - (ends - size), size) + np.arange(total)
+
+
 def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
     """Which of ``n`` words lie in a window of ``length`` words that starts at one of ``starts``."""
     edge = np.zeros(n + length + 1, np.int32)
