@@ -2,15 +2,9 @@
 
 Lines are normalised (A-Z lower-cased, words joined by one space) and hashed.
 Per host, a line is *common* if it stands in more than ``max_docs`` distinct
-texts (exact copies are one) and in varied company, at least ``min_variety``
-different ones per text.  A text's company is the smallest hash of five words in
-a row in those of its lines that stand in no more texts than that; so blocks of
-boilerplate lines don't hide one another, and near copies, whose edited lines
-still share most runs of words, keep one company.  Where such own lines are less
-than ``min_share`` of the words, a text that is a copy but for them can't be told
-from boilerplate by them; there a line's company is the smallest hash of the
-text's other lines.  Common lines go; a document left with fewer than
-``min_words`` words, or less than ``min_share`` of them, is depleted and rejected.
+documents; documents with the same text are one, so a text isn't rejected for
+being copied.  Common lines go; a document left with fewer than ``min_words``
+words, or less than ``min_share`` of them, is depleted and rejected.
 
 Nulls and empty texts have no words and fail the base rules.  A null host is a
 host of its own.  Rows that share an id, or have none, are judged row by row on the text.
@@ -32,11 +26,10 @@ from .staging import Staging
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 WINDOW = 8
-RUN = 5
 
 STATS = (
     "doc_id long, host string, text_key long, n_words long, word_chars long, n_symbols long, "
-    "n_dup_lines long, n_repeat_words long, lines array<struct<no:int,h:long,companion:long,run:long,words:int>>"
+    "n_dup_lines long, n_repeat_words long, lines array<struct<no:int,h:long,first:boolean,words:int>>"
 )
 
 
@@ -79,30 +72,14 @@ def _measure(part: pa.RecordBatch) -> pa.RecordBatch:
     ok = np.flatnonzero(words.whole(WINDOW))
     rep = ok[_repeats(g[ok] ^ salt[text_of[ok]])]
     repeat_words = K.per_text(K.covered(len(h), rep, WINDOW), words.first)
-    # normalised lines and their companions: the smallest other hash of the text
-    lh = K.signed(K.range_hash(h, w0, w1))
-    order = np.lexsort((lh, line_text))
-    t, s = line_text[order], lh[order]
-    new = np.ones(len(s), bool)
-    new[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
-    ut, us = t[new], s[new]  # distinct lines of each text in order
-    first = np.searchsorted(ut, np.arange(n))
-    count = np.bincount(ut, minlength=n)
-    low = np.zeros(n, np.int64)
-    low[count > 0] = us[first[count > 0]]
-    second = np.zeros(n, np.int64)
-    second[count > 1] = us[first[count > 1] + 1]
-    companion = np.where(lh == low[line_text], second[line_text], low[line_text])
-    # the smallest run of words of each line; a shorter line is its own
-    run = lh.copy()
-    long = np.flatnonzero(w1 - w0 >= RUN)
-    if len(long):
-        g = np.append(K.signed(K.grams(h, RUN)), np.iinfo(np.int64).max)
-        run[long] = np.minimum.reduceat(g, np.stack([w0[long], w1[long] - RUN + 1], 1).ravel())[::2]
+    # normalised lines; a line that the text has again isn't a first one
+    lh = K.range_hash(h, w0, w1)
+    first = np.zeros(len(lh), bool)
+    first[np.unique(lh ^ salt[line_text], return_index=True)[1]] = True
     per = np.bincount(line_text, minlength=n)
     lines = pa.ListArray.from_arrays(
         pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()),
-        pa.StructArray.from_arrays([pa.array(line_no, pa.int32()), pa.array(lh), pa.array(companion), pa.array(run), pa.array(w1 - w0, pa.int32())], ["no", "h", "companion", "run", "words"]),
+        pa.StructArray.from_arrays([pa.array(line_no, pa.int32()), pa.array(K.signed(lh)), pa.array(first), pa.array(w1 - w0, pa.int32())], ["no", "h", "first", "words"]),
     )
     chars = lead[words.ends] - lead[words.starts]
     symbols = np.zeros(len(data) + 1, np.int64)
@@ -125,35 +102,18 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col(host).cast("string").alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text").mapInArrow(run, STATS)
 
 
-def common_lines(stats: DataFrame, max_docs: int, min_variety: float, min_share: float) -> DataFrame:
-    """(host, h) of the lines above the limits.
-
-    Counting goes by (host, line, company), so no host and no line is brought
-    together in one task before it is down to a count.
-    """
+def common_lines(stats: DataFrame, max_docs: int) -> DataFrame:
+    """(host, h) of the lines above the limit; a host or a line comes together only as counts."""
     texts = stats.groupBy("host", "text_key").agg(F.any_value("lines").alias("lines"))
-    hashes = texts.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x.h))).alias("h"))
-    often = hashes.groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs)
-    often = often.select(F.col("host").alias("_host"), F.col("h").alias("_h"))
-    lines = texts.select("host", "text_key", F.explode("lines").alias("x")).select("host", "text_key", "x.h", "x.companion", "x.run", "x.words")
-    marked = lines.join(often, F.col("host").eqNullSafe(F.col("_host")) & (F.col("h") == F.col("_h")), "left")
-    own, of_often = F.col("_h").isNull(), F.col("_h").isNotNull()
-    by_text = marked.groupBy("host", "text_key").agg(
-        F.sum("words").alias("words"), F.coalesce(F.sum(F.when(own, F.col("words"))), F.lit(0)).alias("own"), F.min(F.when(own, F.col("run"))).alias("run"),
-        F.collect_set(F.when(of_often, F.struct("h", "companion"))).alias("often"),
-    )
-    company = F.when(F.col("own") >= F.col("words") * min_share, F.col("run")).otherwise(F.col("x.companion"))
-    pairs = by_text.select("host", "words", "own", "run", F.explode("often").alias("x")).select("host", "x.h", company.alias("company"))
-    by_company = pairs.groupBy("host", "h", "company").agg(F.count("*").alias("n"))
-    counts = by_company.groupBy("host", "h").agg(F.sum("n").alias("docs"), F.count("*").alias("companies"))
-    return counts.where(F.col("companies") >= F.col("docs") * min_variety).select("host", "h")
+    lines = texts.select("host", F.explode("lines").alias("x")).where("x.first").select("host", "x.h")
+    return lines.groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).select("host", "h")
 
 
-def _judged(docs: DataFrame, host: str = "source", max_docs: int = 20, min_variety: float = 0.5, min_words: int = 20, min_share: float = 0.2, max_repeat_percent: int = 30, staging: Staging | None = None) -> DataFrame:
-    """What ``line_quality`` gives, with host and text key."""
+def _judged(docs: DataFrame, host: str = "source", max_docs: int = 20, min_words: int = 20, min_share: float = 0.2, max_repeat_percent: int = 30, staging: Staging | None = None) -> DataFrame:
+    """What ``line_quality`` gives, with host, text key and whether there is an id."""
     staging = staging or Staging(docs.sparkSession, "line_quality")
     stats = staging.write(measure(docs, host).withColumn("row", F.monotonically_increasing_id()), "stats")
-    common = common_lines(stats, max_docs, min_variety, min_share)
+    common = staging.write(common_lines(stats, max_docs), "common")
     lines = stats.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.h", "x.no", "x.words")
     same = (lines.host.eqNullSafe(common.host)) & (lines.h == common.h)
     gone = lines.join(common, same, "left_semi").groupBy("row").agg(F.sum("words").alias("gone_words"), F.sort_array(F.collect_list("no")).alias("gone_lines"))
@@ -176,16 +136,18 @@ def line_quality(docs: DataFrame, **options) -> DataFrame:
 def apply_line_quality(docs: DataFrame, host: str = "source", **options) -> DataFrame:
     """The documents that are kept, without their common lines; the columns stay the same.
 
-    The verdict goes to rows by id, host and text, so rows without an id and rows that share one are judged each.
+    The verdict goes to rows by host and text, which it depends on alone, so rows
+    without an id and rows that share one are judged each.
     """
-    kept = _judged(docs, host=host, **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_key").alias("_of"), F.col("gone_lines").alias("_gone"))
-    verdict = kept.groupBy("_id", "_host", "_of").agg(F.any_value("_gone").alias("_gone"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col(host).cast("string").eqNullSafe(F.col("_host")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_of"))
-    kept = docs.join(verdict, same)
-    lines = F.split("text", "\n", -1)
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone"), lambda i: F.get(lines, i))
-    text = F.when(F.size("_gone") == 0, F.col("text")).otherwise(F.array_join(left, "\n"))
-    out = kept.withColumn("text", text)
+    judged = _judged(docs, host=host, **options).where("kept")
+    verdict = judged.groupBy("host", "text_key").agg(F.any_value("gone_lines").alias("gone_lines"))
+    # the input's columns go in one struct, so that no name can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumns({"at": F.col(f"row.`{host}`").cast("string"), "of": F.xxhash64(F.coalesce("row.text", F.lit("")))})
+    kept = rows.join(verdict, F.col("at").eqNullSafe(F.col("host")) & (F.col("of") == F.col("text_key")))
+    lines = F.split("row.text", "\n", -1)
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone_lines"), lambda i: F.get(lines, i))
+    out = kept.withColumn("left", F.when(F.size("gone_lines") == 0, F.col("row.text")).otherwise(F.array_join(left, "\n")))
+    changed = {"text": F.col("left")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.length("left").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
