@@ -1,4 +1,9 @@
-"""A compressed FM-index over word sequences: Burrows-Wheeler transform, wavelet matrix, batched backward search."""
+"""A compressed FM-index over word sequences: Burrows-Wheeler transform, wavelet matrix, batched backward search.
+
+The transform takes as many bits a word as the shard's vocabulary needs, and 1/8 more for ranks.
+Rows that agree on a whole window are marked by a bit vector, with one number for each such class.
+The words themselves are kept while the segments are streamed through the index.
+"""
 
 from __future__ import annotations
 
@@ -79,10 +84,10 @@ class FMIndex:
         a, b = r[order], r[order + window - d]
         new = np.ones(len(order) + 1, bool)
         new[1:-1] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        edges = np.flatnonzero(new)
-        which = np.cumsum(new[:-1]) - 1
-        self.class_begin, self.class_end = edges[:-1][which], edges[1:][which]
-        self.mass = np.concatenate([[0], np.cumsum(weights[self.owner[order]])])
+        self.new = BitVector(new[:-1])
+        self.edges = np.flatnonzero(new)
+        total = np.concatenate([[0], np.cumsum(weights[self.owner[order]])])[self.edges]
+        self.mass = np.diff(total)
 
     @staticmethod
     def _doubled(rank: np.ndarray, h: int) -> np.ndarray:
@@ -126,11 +131,12 @@ class FMIndex:
             a, b = self.extend(word, lo[active], hi[active])
             m = length[active] + 1
             long = m > self.window
-            row = np.minimum(a, len(self.class_begin) - 1)
-            a, b = np.where(long, self.class_begin[row], a), np.where(long, self.class_end[row], b)
+            # a match of a whole window is a class of rows
+            which = self.new.rank(np.minimum(a, len(self.text) - 1) + 1) - 1
+            a, b = np.where(long, self.edges[which], a), np.where(long, self.edges[which + 1], b)
             m = np.minimum(m, self.window)
             lo[active], hi[active], length[active] = a, b, m
-            hit = (m == self.window) & (self.mass[b] - self.mass[a] >= 2)
+            hit = (m == self.window) & (self.mass[which] >= 2)
             found.append((segment[active[hit]], at[active[hit]]))
             active = active[at[active] > start[active]]
         if not found:

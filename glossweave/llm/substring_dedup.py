@@ -7,15 +7,17 @@ have equal anchors, so they meet in one shard, and no window is searched in more
 than one.  A segment whose anchor stands nowhere else can't hold a repeated
 window and needs no search.
 
-Equal segments are one, with a count.  A shard is a run of whole anchor groups:
-its segments are indexed, then streamed through backward search, which gives the
-matching statistics and so the windows that occur twice or more.
+Of segments that look equal by anchor and content hash the index takes the words
+of the first and of the last one, so it finds a repetition in the text itself and
+trusts no hash.  A shard is a run of whole anchor groups: its segments are
+indexed, then streamed through backward search, which gives the matching
+statistics and so the windows that occur twice or more.
 
 An anchor inside a very common passage has as many different segments as the
-passage has surroundings.  Groups of more than ``group_limit`` segments are
-therefore cut into single windows keyed by their own content: counted where they
-lie, the ones that stand alone drop out, and the few that repeat are indexed as
-segments of one window.
+passage has surroundings.  In groups of more than ``group_limit`` segments the
+anchor is made longer, up to the window: each window of theirs is a segment of its
+own, goes to a group by its own hash, and is searched in the same way.  The result
+is the same for every limit.
 
 Windows are judged on the input.  Nulls and texts of fewer than ``window`` words
 lose nothing.  Repeated rows are documents of their own, ids may repeat or be
@@ -37,7 +39,7 @@ from .fm_index import FMIndex
 from .staging import Staging
 
 SEGMENTS = "doc_id long, text_key long, n_words int, anchors array<long>, contents array<long>, starts array<int>, windows array<int>, twice array<boolean>"
-TEXTS = "anchor long, content long, n long, hot boolean, text binary, hashes array<long>"
+TEXTS = "anchor long, content long, last boolean, n long, hot boolean, text binary, hashes array<long>"
 VERDICTS = "anchor long, content long, runs array<struct<at:int,windows:int>>"
 SHARD_WORDS = 400_000
 
@@ -87,7 +89,7 @@ def _segments(part: pa.RecordBatch, window: int, anchor_words: int) -> pa.Record
             new[1:] = (lw[1:] != lw[:-1]) | (tw[1:] != tw[:-1])
             at = np.flatnonzero(new)
             starts, ends = whole[at], whole[np.append(at[1:], len(whole)) - 1] + 1
-            anchor, content = K.signed(lw[at]), K.signed(K.range_hash(h, starts, ends + window - 1))
+            anchor, content = K.signed(lw[at]), K.signed(K.range_hash(K.grams(h, window), starts, ends))
             twice = (np.maximum.reduceat(many[whole], at) > 1) | (ends - starts > span)
             per = np.bincount(tw[at], minlength=n)
             starts, ends = starts - w.first[tw[at]], ends - w.first[tw[at]]
@@ -105,6 +107,12 @@ def _same_document(a: DataFrame, b: DataFrame) -> Column:
     return a.doc_id.eqNullSafe(b.doc_id) & (a.text_key == b.text_key)
 
 
+def _ends() -> Column:
+    """The first and the last of ``n`` places, with the counts that they stand for."""
+    first, last = (F.struct(F.col(c).alias("at"), F.lit(c == "to").alias("last"), n.cast("long").alias("n")) for c, n in (("from", F.lit(1)), ("to", F.col("n") - 1)))
+    return F.when(F.col("n") > 1, F.array(first, last)).otherwise(F.array(first))
+
+
 def _extract(window: int):
     """Texts of the wanted segments, words joined by one space; for hot groups also the hash of each window."""
 
@@ -122,10 +130,10 @@ def _extract(window: int):
                             data = np.frombuffer(raw, np.uint8)
                             w = K.find_words(data, np.array([0, len(data)]))
                             hashes = K.signed(K.grams(K.byte_hash(data, w.starts, w.ends), window)).tolist()
-                        rows.append((s["anchor"], s["content"], s["n"], s["hot"], b" ".join(chosen), hashes))
-                columns = list(zip(*rows)) if rows else [[]] * 6
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["anchor", "content", "n", "hot", "text", "hashes"])
+                        rows.append((s["anchor"], s["content"], s["last"], s["n"], s["hot"], b" ".join(chosen), hashes))
+                columns = list(zip(*rows)) if rows else [[]] * 7
+                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["anchor", "content", "last", "n", "hot", "text", "hashes"])
 
     return run
 
@@ -165,8 +173,6 @@ def _index_shards(window: int):
                 if anchor != last and size > SHARD_WORDS:
                     yield _shard(keys, counts, texts, window)
                     keys, counts, texts, size = [], [], [], 0
-                if keys and keys[-1] == (anchor, content):
-                    continue  # a repeated row gave its text again; n counts it already
                 last = anchor
                 keys.append((anchor, content))
                 counts.append(n)
@@ -197,27 +203,32 @@ def repeated_intervals(docs: DataFrame, window: int = 35, anchor_words: int = 12
     anchors = found.select(F.explode(F.arrays_zip("anchors", "twice")).alias("x")).groupBy(F.col("x.anchors").alias("anchor")).agg(F.sum(F.when(F.col("x.twice"), 2).otherwise(1)).alias("times"))
     each = found.select("doc_id", "text_key", F.explode(F.arrays_zip("anchors", "contents", "starts", "windows")).alias("x")).select("doc_id", "text_key", F.col("x.anchors").alias("anchor"), F.col("x.contents").alias("content"), F.col("x.starts").alias("start"), F.col("x.windows").alias("windows"))
     candidates = staging.write(each.join(anchors.where("times > 1").select("anchor"), "anchor", "left_semi"), "candidates")
-    distinct = candidates.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "start", "windows")).alias("from"))
+    place = F.struct("doc_id", "text_key", "start", "windows")
+    distinct = candidates.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(place).alias("from"), F.max(place).alias("to"))
     groups = distinct.groupBy("anchor").agg((F.count("*") > group_limit).alias("hot"))
-    wanted = distinct.join(groups, "anchor").select("from.*", "anchor", "content", "n", "hot")
-    wanted = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "content", "n", "hot", "start", "windows")).alias("wanted"))
+    wanted = distinct.join(groups, "anchor").select("anchor", "content", "hot", F.explode(_ends()).alias("x")).select("x.at.*", "anchor", "content", "x.last", "x.n", "hot")
+    wanted = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "content", "last", "n", "hot", "start", "windows")).alias("wanted"))
     texts = keyed.join(wanted, _same_document(keyed, wanted)).select("text", "wanted").mapInArrow(_extract(window), TEXTS)
     texts = staging.write(texts, "texts")
     verdicts = _search(texts.where("NOT hot"), window)
     if not texts.where("hot").isEmpty():
-        hot = texts.where("hot").dropDuplicates(["anchor", "content"])
-        single = hot.select("anchor", "content", "n", F.posexplode("hashes").alias("at", "hash"))
-        repeated = single.groupBy("hash").agg(F.sum("n").alias("n"), F.min(F.struct("anchor", "content", "at")).alias("from")).where("n > 1")
-        chosen = repeated.select("hash", "n", "from.*").groupBy("anchor", "content").agg(F.collect_list(F.struct("hash", "n", "at")).alias("picks"))
-        with_text = hot.select("anchor", "content", "text").join(chosen, ["anchor", "content"])
+        # rows of a document that stands in the table twice give their texts twice
+        hot = texts.where("hot").dropDuplicates(["anchor", "content", "last"])
+        single = hot.select("anchor", "content", "last", "n", F.posexplode("hashes").alias("at", "hash"))
+        spot = F.struct("anchor", "content", "last", "at")
+        repeated = single.groupBy("hash").agg(F.sum("n").alias("n"), F.min(spot).alias("from"), F.max(spot).alias("to")).where("n > 1")
+        chosen = repeated.select("hash", F.explode(_ends()).alias("x")).select("hash", "x.at.*", "x.n").groupBy("anchor", "content", "last").agg(F.collect_list(F.struct("hash", "n", "at")).alias("picks"))
+        with_text = hot.select("anchor", "content", "last", "text").join(chosen, ["anchor", "content", "last"])
         words = F.split(F.col("text").cast("string"), " ")
         windows = with_text.select(words.alias("words"), F.explode("picks").alias("x")).select(F.col("x.hash").alias("anchor"), F.col("x.hash").alias("content"), F.col("x.n").alias("n"), F.array_join(F.slice("words", F.col("x.at") + 1, window), " ").cast("binary").alias("text"))
         good = _search(windows, window).select(F.col("anchor").alias("hash"))
-        back = single.join(good, "hash", "left_semi").groupBy("anchor", "content").agg(F.transform(F.sort_array(F.collect_list("at")), lambda x: F.struct(x.alias("at"), F.lit(1).alias("windows"))).alias("runs"))
+        back = single.join(good, "hash", "left_semi").groupBy("anchor", "content").agg(F.transform(F.sort_array(F.collect_set("at")), lambda x: F.struct(x.alias("at"), F.lit(1).alias("windows"))).alias("runs"))
         verdicts = verdicts.unionByName(back)
     verdicts = staging.write(verdicts, "verdicts")
-    runs = candidates.join(verdicts, ["anchor", "content"]).select("doc_id", "text_key", F.transform("runs", lambda x: F.struct((x.at + F.col("start")).alias("at"), x.windows.alias("windows"))).alias("runs"))
-    return staging.write(runs.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs")), "intervals")
+    runs = candidates.join(verdicts, ["anchor", "content"]).select("doc_id", "text_key", "start", F.explode("runs").alias("x"))
+    # a set, as rows that share id and text bring the same runs
+    each = F.collect_set(F.struct((F.col("x.at") + F.col("start")).alias("at"), F.col("x.windows").alias("windows")))
+    return staging.write(runs.groupBy("doc_id", "text_key").agg(each.alias("runs")), "intervals")
 
 
 def _removed(part: pa.RecordBatch, window: int, keep_text: bool) -> pa.RecordBatch:
