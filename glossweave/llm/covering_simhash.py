@@ -17,8 +17,9 @@ links are reduced to a spanning forest.
 
 Nulls and texts without a word have fingerprint zero and are linked like any
 other.  With fewer words than a shingle has, the whole sequence is the shingle.
-Repeated ids are one document: a component is about ids.  Rows without an id
-have no component and are left out.  Other columns are ignored.
+Repeated ids are one document: a component is about ids.  A row without an id
+links others like any row, and its component is the smallest id that it reaches,
+or null if there is none.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -150,20 +151,32 @@ def links(distinct: DataFrame, staging: Staging, bucket_limit: int = 512) -> Dat
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, bucket_limit: int = 512, staging: Staging | None = None) -> DataFrame:
-    """(doc_id, fp, component_id, n_docs): each document's fingerprint, the smallest id it is linked with, and documents of its fingerprint."""
+    """(doc_id, fp, component_id, n_docs, group): each document's fingerprint, the smallest id it is linked with, documents of its fingerprint, and the least fingerprint reached."""
     staging = staging or Staging(docs.sparkSession, "covering_simhash")
-    prints = staging.write(fingerprints(docs, shingle).where("doc_id IS NOT NULL"), "fingerprints")
+    prints = staging.write(fingerprints(docs, shingle), "fingerprints")
     classes = staging.write(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_docs")), "classes")
     edges = staging.write(links(classes.select("fp"), staging, bucket_limit), "links")
     groups = connected_components(edges, lambda df, name: staging.write(df, name))
     joined = classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = joined.join(least, "component").select("fp", "component_id", "n_docs")
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id", "n_docs")
+    of = joined.join(least, "component").select("fp", "component_id", "n_docs", F.col("component").alias("group"))
+    return prints.join(of, "fp").select("doc_id", "fp", "component_id", "n_docs", "group")
 
 
 def apply_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component (the one with the smallest id), once, as it was."""
-    keep = near_duplicates(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(keep, F.col("doc_id") == F.col("_id"), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One row of each component, as it was: of the smallest id, and of its rows that of the least text hash; rows without an id come last."""
+    prints = near_duplicates(docs, **options)
+    # a component without any id goes by the smallest fingerprint that it reaches
+    wanted = prints.groupBy("group").agg(F.min("component_id").alias("least"), F.min("fp").alias("first"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    by_id = whole.join(wanted.where("least IS NOT NULL").select("least"), F.col("row.doc_id").cast("long") == F.col("least"), "left_semi")
+    rows = by_id.withColumn("key", F.xxhash64("row.text")).groupBy("row.doc_id").agg(F.min_by("row", "key").alias("row"))
+    out = rows.select("row.*")
+    nameless = wanted.where("least IS NULL")
+    if nameless.isEmpty():
+        return out
+    texts = whole.where("row.doc_id IS NULL").select("row", F.col("row.text").alias("text"), F.lit(None).cast("long").alias("doc_id"))
+    marked = texts.select("row", F.xxhash64("text").alias("key"), "text")
+    of = fingerprints(texts.select(F.xxhash64("text").alias("doc_id"), "text").distinct(), options.get("shingle", 3))
+    first = marked.join(of.withColumnRenamed("doc_id", "key"), "key").join(nameless.select(F.col("first").alias("fp")), "fp", "left_semi")
+    return out.unionByName(first.groupBy("fp").agg(F.min_by("row", "key").alias("row")).select("row.*"))

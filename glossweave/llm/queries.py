@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, covering_simhash, html_extract, line_quality, line_templates, maxent_lm, substring_dedup, suffix_decontamination, temperature_mixing, token_store
+from . import chat_format, covering_simhash, html_extract, line_quality, line_templates, maxent_lm, oracles, substring_dedup, suffix_decontamination, temperature_mixing, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +63,7 @@ def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -79,4 +79,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_decontamination": op10_suffix_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op4_temperature_mixing": oracles.TEMPERATURE_MIXING,
+    "op7_chat_format": oracles.CHAT_FORMAT,
+    "op9_line_quality": oracles.LINE_QUALITY,
+    "op10_suffix_decontamination": oracles.DECONTAMINATION,
+}

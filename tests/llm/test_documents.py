@@ -251,7 +251,7 @@ def test_mixing_weights_and_blocks(spark):
     passes = [x.passes for x in table.values()]
     assert min(passes) == 1 and 1.49 < max(passes) < 1.5001
     assert math.isclose(sum(x.weight for x in table.values()), 1)
-    placed = temperature_mixing.mix(df, max_repeats=1.5, blocks=8, ranges=4).collect()
+    placed = temperature_mixing.mix(df, max_repeats=1.5, blocks=8, range_docs=90).collect()
     times = collections.Counter(x.doc_id for x in placed)
     assert all(1 <= times[i] <= 2 for i, _, _ in rows)
     used = collections.Counter()
@@ -265,15 +265,32 @@ def test_mixing_weights_and_blocks(spark):
     target = 1.2
     w = [x.weight for x in temperature_mixing.weights(df, entropy=target).collect()]
     assert math.isclose(-sum(p * math.log2(p) for p in w), target, abs_tol=1e-6)
-    few = temperature_mixing.mix(df, budget_tokens=300).collect()
+    few = temperature_mixing.mix(df, budget_tokens=300, max_repeats=2.0).collect()
     assert 300 <= sum(x.tokens for x in few) < 300 + 3 * 9
     out = temperature_mixing.apply_mixing(df, max_repeats=1.5)
     assert out.columns == df.columns
     assert collections.Counter(x.doc_id for x in out.collect()) == times
 
 
+def test_limits_on_passes_hold_under_a_budget(spark):
+    rows = [(i, "w " * (1 + i % 5), "big" if i % 10 else "small") for i in range(500)]
+    df = frame(spark, rows)
+    total = sum(len(t.split()) for _, t, _ in rows)
+    for budget, limit in ((total, 3.0), (2 * total, 2.5), (total // 2, 2.0)):
+        table = temperature_mixing.weights(df, max_repeats=limit, budget_tokens=budget).collect()
+        assert max(x.passes for x in table) <= limit + 0.02
+        assert abs(sum(x.quota for x in table) - budget) <= 4
+    equal = temperature_mixing.weights(df, max_repeats=100.0, budget_tokens=total).collect()
+    assert math.isclose(equal[0].weight, 0.5) and math.isclose(equal[1].weight, 0.5)
+    plain = {x.source: x.passes for x in temperature_mixing.weights(df).collect()}
+    assert plain == {"big": 1, "small": 1}
+    for wrong in ({"max_repeats": 1.5, "budget_tokens": 2 * total}, {"max_repeats": 0.5}, {"entropy": 1.5}, {"entropy": 0.5, "max_repeats": 2.0}):
+        with pytest.raises(ValueError):
+            temperature_mixing.weights(df, **wrong)
+
+
 def test_mixing_takes_awkward_rows(docs):
-    placed = temperature_mixing.mix(docs).collect()
+    placed = temperature_mixing.mix(docs, max_repeats=2.0).collect()
     assert {x.doc_id for x in placed} == {i for i, _, _ in documents()}
 
 
