@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from . import kernels as K
+from . import similar_texts
 from .staging import Staging
 
 RADIUS = 2
@@ -160,11 +161,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bucket_limit: int = 512,
     joined = classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     of = joined.join(least, "component").select("fp", "component_id", "n_docs", F.col("component").alias("group"))
+    of = staging.write(of, "components")
+    staging.keep("fingerprints", "components")
     return prints.join(of, "fp").select("doc_id", "fp", "component_id", "n_docs", "group")
 
 
-def apply_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One row of each component, as it was: of the smallest id, and of its rows that of the least text hash; rows without an id come last."""
+def apply_near_duplicates(docs: DataFrame, similarity: float | None = None, **options) -> DataFrame:
+    """One row of each component, as it was: of the smallest id, and of its rows that of the least text hash; rows without an id come last.
+
+    With a ``similarity`` of shingle sets in place of two differing bits, texts are
+    linked by `similar_texts`, as no radius that masks can cover reaches it.
+    """
+    if similarity is not None:
+        return similar_texts.apply_similar_texts(docs, similarity=similarity, **options)
     prints = near_duplicates(docs, **options)
     # a component without any id goes by the smallest fingerprint that it reaches
     wanted = prints.groupBy("group").agg(F.min("component_id").alias("least"), F.min("fp").alias("first"))

@@ -228,7 +228,9 @@ def repeated_intervals(docs: DataFrame, window: int = 35, anchor_words: int = 12
     runs = candidates.join(verdicts, ["anchor", "content"]).select("doc_id", "text_key", "start", F.explode("runs").alias("x"))
     # a set, as rows that share id and text bring the same runs
     each = F.collect_set(F.struct((F.col("x.at") + F.col("start")).alias("at"), F.col("x.windows").alias("windows")))
-    return staging.write(runs.groupBy("doc_id", "text_key").agg(each.alias("runs")), "intervals")
+    out = staging.write(runs.groupBy("doc_id", "text_key").agg(each.alias("runs")), "intervals")
+    staging.keep("intervals")
+    return out
 
 
 def _removed(part: pa.RecordBatch, window: int, keep_text: bool) -> pa.RecordBatch:
