@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from . import vocabulary as V
 
+# --- fixed values -----------------------------------------------------------
 WORD = "[A-Za-zА-Яа-яЁё0-9]+(?:[-'][A-Za-zА-Яа-яЁё0-9]+)*"
 LETTERS = "[A-Za-zА-Яа-яЁё]+(?:[-'][A-Za-zА-Яа-яЁё]+)*"
 #: White space as Unicode has it.
 WS = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
 _OPEN, _CLOSE = '["«“]', '["»”]'
 ALIAS = rf"{_OPEN}(.+?){_CLOSE}|\((.+?)\)"
+# --- end of fixed values ----------------------------------------------------
 _ENDING = "|".join(sorted(V.ENDINGS, key=len, reverse=True))
 
 
@@ -157,8 +159,8 @@ def capitalize_first(c: Column) -> Column:
 
 
 def _replace_letters(c: Column) -> Column:
-    for cyrillic, latin in zip(V.CYRILLIC, V.TO_LATIN):
-        c = F.replace(c, F.lit(cyrillic), F.lit("" if latin == "-" else latin))
+    for cyrillic, latin in V.TO_LATIN.items():
+        c = F.replace(c, F.lit(cyrillic), F.lit(latin))
     return c
 
 
@@ -166,7 +168,7 @@ def to_latin(c: Column, keep_unknown: bool) -> Column:
     """Cyrillic letters in Latin; other characters stay or, for names in the registry, go."""
     low = F.regexp_replace(F.lower(c), "[^а-яё-]", "") if not keep_unknown else c
     if keep_unknown:  # only Cyrillic letters are lower-cased
-        low = F.translate(c, V.CYRILLIC.upper(), V.CYRILLIC)
+        low = F.translate(c, "".join(V.TO_LATIN).upper(), "".join(V.TO_LATIN))
     return capitalize_first(_replace_letters(low))
 
 
@@ -184,7 +186,8 @@ def to_cyrillic(c: Column) -> Column:
     out = low
     for latin, cyrillic in V.LATIN_DIGRAPHS:
         out = F.replace(out, F.lit(latin), F.lit(cyrillic))
-    out = F.replace(F.translate(out, V.LATIN, V.TO_CYRILLIC), F.lit("x"), F.lit("кс"))
+    for latin, cyrillic in V.TO_CYRILLIC.items():
+        out = F.replace(out, F.lit(latin), F.lit(cyrillic))
     return F.when(low.rlike("^[a-z0-9 ]+$"), capitalize_first(out)).otherwise(F.lit(""))
 
 

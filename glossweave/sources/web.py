@@ -1,21 +1,30 @@
 """Choosing what to download: links of pages and feeds, export addresses, names and kinds of payloads.
 
-Fetching itself is a driver's step before any query and is left to the caller;
-these are the decisions around it, as DataFrame expressions.
+The decisions are DataFrame expressions.  Fetching is a driver's step before any
+query: a handful of addresses, tried one after the other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+from datetime import datetime
+from urllib.request import Request, urlopen
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import let
+from .snapshots import exists, write_bytes
 
 # --- fixed values -----------------------------------------------------------
 KINDS = [
     ("spreadsheetml.sheet", ".xlsx"), ("ms-excel", ".xls"), ("wordprocessingml.document", ".docx"), ("text/html", ".html"),
     ("application/rss+xml", ".xml"), ("application/xml", ".xml"), ("text/xml", ".xml"), ("application/json", ".json"), ("text/plain", ".txt"),
 ]
+EXPORT_BASE = r"ExternalApi\.setBaseUrl\(\s*['\"]([^'\"]+)['\"]\s*\)"
+EXPORT_ID = r"let\s+id\s*=\s*['\"]([0-9a-fA-F-]{8,})['\"]"
+EXPORT_PATH, EXPORT_END = "/rest/registry/", "/export?"
 # --- end of fixed values ----------------------------------------------------
 
 
@@ -58,9 +67,8 @@ def best_link(links: Column, page_url: Column, allowed: list[str]) -> Column:
 
 def export_url(content: Column) -> Column:
     """The export address that a registry page's script builds; null if it doesn't."""
-    base = F.regexp_extract(content, r"ExternalApi\.setBaseUrl\(\s*['\"]([^'\"]+)['\"]\s*\)", 1)
-    registry = F.regexp_extract(content, r"let\s+id\s*=\s*['\"]([0-9a-fA-F-]{8,})['\"]", 1)
-    return F.when((base != "") & (registry != ""), F.concat(F.rtrim(base, F.lit("/")), F.lit("/rest/registry/"), registry, F.lit("/export?")))
+    base, registry = F.regexp_extract(content, EXPORT_BASE, 1), F.regexp_extract(content, EXPORT_ID, 1)
+    return F.when((base != "") & (registry != ""), F.concat(F.rtrim(base, F.lit("/")), F.lit(EXPORT_PATH), registry, F.lit(EXPORT_END)))
 
 
 def download_urls(pages: DataFrame, allowed: list[str], with_export: bool = False) -> DataFrame:
@@ -94,3 +102,58 @@ def archive_names(downloads: DataFrame) -> DataFrame:
     df = downloads.withColumn("_base", base).withColumn("_ext", extension_of_response(F.col("url"), F.col("content_type"), F.col("disposition")))
     n = F.row_number().over(Window.partitionBy("_base", "_ext").orderBy("url")) - 1
     return df.withColumn("path", F.concat("_base", F.when(n > 0, F.concat(F.lit("_"), n)).otherwise(F.lit("")), "_ext")).drop("_base", "_ext")
+
+
+# --- fetching ------------------------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Payload:
+    """What an address gave."""
+
+    content: bytes
+    content_type: str
+    disposition: str
+    url: str  # after redirections
+
+
+def download(url: str, headers: dict[str, str] | None = None, timeout: int = 45) -> Payload:
+    with urlopen(Request(url, headers=headers or {}), timeout=timeout) as r:
+        return Payload(r.read(), r.headers.get("Content-Type", ""), r.headers.get("Content-Disposition", ""), r.geturl())
+
+
+def archive(spark: SparkSession, root: str, source: str, payload: Payload, fetched_at: datetime) -> str:
+    """Write a payload as date/source/time_stem.ext under ``root``, numbered if that is taken; its path."""
+    row = spark.createDataFrame([(source, payload.url, payload.content_type, payload.disposition, fetched_at)], "source string, url string, content_type string, disposition string, fetched_at timestamp_ntz")
+    path = archive_names(row).first().path
+    stem, dot, ext = path.rpartition(".")
+    n, target = 0, f"{root}/{path}"
+    while exists(spark, target):
+        n += 1
+        target = f"{root}/{stem}_{n}{dot}{ext}"
+    write_bytes(spark, target, payload.content)
+    return target
+
+
+def fetch(spark: SparkSession, source: str, pages: list[str], allowed: list[str], root: str, with_export: bool = False, get: Callable[[str], Payload] = download, now: Callable[[], datetime] = datetime.now) -> str:
+    """The path of a source's newest file: of each page in turn the page itself if it is such a file, else what it links to.
+
+    Every page is archived under ``raw_pages``.  If none brings a file, the error lists why.
+    """
+    errors: list[str] = []
+    at = now()
+    for page in pages:
+        try:
+            got = get(page)
+            archive(spark, f"{root}/raw_pages", source, got, at)
+            row = spark.createDataFrame([(got.url, got.content.decode("utf-8", "ignore"), got.content_type, got.disposition)], "url string, content string, content_type string, disposition string")
+            kind = extension_of_response(F.col("url"), F.col("content_type"), F.col("disposition")).alias("kind")
+            choice = download_urls(row, allowed, with_export).select(kind, "download_url").first()
+            if choice.kind in allowed and choice.kind not in (".html", ".xml"):
+                return archive(spark, root, source, got, at)
+            if choice.download_url:
+                return archive(spark, root, source, get(choice.download_url), at)
+            errors.append(f"{page}: no link to a file")
+        except Exception as e:  # any address may fail in its own way; the next one is tried
+            errors.append(f"{page}: {e}")
+    raise RuntimeError(f"nothing could be fetched for {source}:\n" + "\n".join(errors))
