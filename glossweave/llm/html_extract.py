@@ -75,8 +75,7 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     bits = (groups[:, None] >> np.arange(len(GROUPS)) & 1).astype(np.float32)
     # of ancestors: top down, one depth after the other
     above_kind, above_bits = np.zeros_like(kind[:, :6]), np.zeros_like(bits)
-    for d in range(1, int(depth.max(initial=0)) + 1):
-        i = np.flatnonzero(depth == d)
+    for i in by_depth(depth)[1:]:
         up = parent[i]
         above_kind[i] = np.maximum(above_kind[up], kind[up, :6])
         above_bits[i] = np.maximum(above_bits[up], bits[up])
@@ -106,16 +105,21 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return x, np.where(root, -1, parent), depth, first
 
 
+def by_depth(depth: np.ndarray) -> list[np.ndarray]:
+    """The nodes of each depth, from one sort, so that deep nesting costs its nodes alone."""
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.searchsorted(depth[order], np.arange(1, int(depth.max(initial=0)) + 1)))
+
+
 def decode(score: np.ndarray, parent: np.ndarray, depth: np.ndarray) -> np.ndarray:
     """The states of the best labelling without a contradiction."""
     best = score.astype(np.float64).copy()
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=0)) + 1)]
+    levels = by_depth(depth)
     for nodes in reversed(levels[1:]):
         b = best[nodes]
         from_article = np.maximum(b[:, ARTICLE], b[:, OTHER])
         gain = np.stack([np.maximum(b[:, MIXED], from_article), from_article, b[:, OTHER]], 1)
-        for s in range(3):
-            best[:, s] += np.bincount(parent[nodes], gain[:, s], len(best))
+        np.add.at(best, parent[nodes], gain)
     state = np.empty(len(score), np.int64)
     for d, nodes in enumerate(levels):
         b = best[nodes].copy()

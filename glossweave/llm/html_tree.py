@@ -1,7 +1,10 @@
 """A small HTML tree for extraction: nodes in page order, texts with their owners, block breaks.
 
 Tolerates unclosed and misnested tags, truncated pages and stray markup.  Raw
-text elements (scripts, styles and the like) never give text.
+text elements (scripts, styles and the like) never give text; without an end tag
+a script or a style goes on to the page's end, of any other only the tag goes.
+Drawings, formulas and media are inline markup: what text they hold is judged
+with the element around them.
 """
 
 from __future__ import annotations
@@ -18,9 +21,9 @@ TAGS = (
 TAG_ID = {t: i for i, t in enumerate(TAGS)}
 BLOCK = set(TAGS[: TAGS.index("a")])
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title svg math iframe object audio video canvas head".split())
+RAW = set("script style noscript template textarea title iframe".split())
 #: Inline markup that is no node of its own: its text is its parent's.
-PLAIN = set("b i em strong small u s sub sup mark code kbd samp var cite q abbr time data font tt big del ins bdi bdo ruby rt rp dfn acronym".split())
+PLAIN = set("b i em strong small u s sub sup mark code kbd samp var cite q abbr time data font tt big del ins bdi bdo ruby rt rp dfn acronym svg g text tspan math mrow mi mn mo ms mtext mstyle msup msub msubsup mfrac msqrt mroot mover munder semantics object audio video canvas picture".split())
 CLOSES_P = BLOCK - {"html", "body", "tbody", "thead", "tfoot", "tr", "td", "th", "caption", "li", "dt", "dd", "figcaption", "summary"} | {"hr"}
 SCOPE = {"table", "td", "th", "button", "html", "body"}
 #: A start tag ends an open element of these kinds, up to a list or table around it.
@@ -176,13 +179,13 @@ def parse(source: str) -> Page:
                         break
             continue
         raw = m[3] if m[2] else m[6]
+        if name == "head":
+            continue  # its elements count by themselves
         if name in RAW:
-            if name == "head":
-                continue  # its elements count by themselves
             if not (raw or "").rstrip().endswith("/"):
                 skip = re.compile(rf"</{re.escape(name)}[^>]*(?:>|\Z)", re.I)
                 found = skip.search(source, at)
-                at = found.end() if found else len(source)
+                at = found.end() if found else len(source) if name in ("script", "style") else at
             continue
         if name in VOID:
             if name in ("br", "hr"):
