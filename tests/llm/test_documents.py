@@ -326,13 +326,40 @@ def test_language_model(spark):
     assert sum(x.score for x in held) / tokens > sum(x.base_score for x in held) / tokens + 0.05
 
 
-def test_probabilities_sum_to_one():
-    words = np.arange(1, 40).astype(np.uint64)
-    counts = np.array([1] * 20 + [2] * 10 + [9] * 8 + [500])
-    model = maxent_lm.Classes(int(counts.sum()), 39, {39: 4}, {0: 1, 1: 2, 3: 3}, np.array([1.0, 20, 20, 72, 500]), np.log(np.full(5, 0.2, np.float32)))
-    klass = model.of(words, counts)
-    share = counts / model.mass[klass]
-    assert math.isclose(0.2 * share.sum() + 0.2, 1, rel_tol=1e-6)
+def test_context_tells_words_of_one_class_apart(spark):
+    """150 words of one frequency, each followed by one of two: only the factor inside the class can know which."""
+    r = random.Random(8)
+    names = [f"{a}{b}" for a in "abcdefghijklmno" for b in "pqrstuvwxy"]
+    after = {w: r.sample(names, 2) for w in names}
+
+    def text():
+        w, out = r.choice(names), []
+        for _ in range(120):
+            w = r.choice(after[w])
+            out.append(w)
+        return " ".join(out)
+
+    got = maxent_lm.score_documents(frame(spark, [(i, text(), "s") for i in range(500)]), block_tokens=4000).collect()
+    held = [x for x in got if x.held_out]
+    tokens = sum(x.n_tokens for x in held)
+    gain = sum(x.score - x.base_score for x in held) / tokens
+    assert gain > 0.6  # of log10(150 / 2) = 1.9 that a perfect model would gain
+
+
+def test_probabilities_sum_to_one(spark):
+    r = random.Random(3)
+    counts = [1] * 300 + [2] * 200 + [9] * 8 + [5] * 40 + [20] * 70 + [900]
+    vocabulary = spark.createDataFrame([(r.getrandbits(63), c) for c in counts], "hash long, c long")
+    model = maxent_lm._classes(vocabulary)
+    rows = vocabulary.collect()
+    words = np.array([x.hash for x in rows], np.int64).view(np.uint64)
+    n = np.array([x.c for x in rows])
+    klass, slot = model.of(words, n), model.slot(words, n)
+    share = np.where(slot >= 0, np.exp(model.inner[klass, slot]), n / model.mass[klass])
+    # inside every class of seen words the shares are one, whatever the features add to the logits
+    assert np.allclose(np.bincount(klass, share, len(model.bias))[1:], 1, rtol=1e-5)
+    assert math.isclose(np.exp(model.bias).sum(), 1, rel_tol=1e-5)
+    assert (slot >= 0).sum() == 200 + 8 + 40 + 70 and len(set(zip(klass[slot >= 0].tolist(), slot[slot >= 0].tolist()))) == 318
 
 
 def test_empty_tables(empty, spark):
