@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -53,11 +53,13 @@ def _save(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
 
 
 def latin_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The leading three words of benchmark items as a registry of works."""
+    """The leading two to four words of benchmark items as a registry of works; every fifth name is shared by two."""
     words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
-    lead = table(spark, sf_dir, "benchmark").select("item_id", F.slice(words, 1, 3).alias("w")).where(F.size("w") == 3)
-    return lead.select(
-        F.col("item_id").cast("long").alias("ord"), F.concat(F.lit("b"), F.col("item_id")).alias("id"), F.array_join("w", " ").alias("name"), F.lit("material").alias("entity_type"),
+    size = (F.col("item_id") % 3 + 2).cast("int")
+    lead = table(spark, sf_dir, "benchmark").select("item_id", size.alias("n"), F.slice(words, F.lit(1), size).alias("w")).where("size(w) = n")
+    each = lead.select("item_id", "w", F.explode(F.when(F.col("item_id") % 5 == 0, F.array(F.lit("b"), F.lit("c"))).otherwise(F.array(F.lit("b")))).alias("kind"))
+    return each.select(
+        (F.col("item_id") * 2 + F.when(F.col("kind") == "c", 1).otherwise(0)).cast("long").alias("ord"), F.concat("kind", F.col("item_id")).alias("id"), F.array_join("w", " ").alias("name"), F.lit("material").alias("entity_type"),
         F.array(F.lit("extremist_material")).alias("statuses"), F.array().cast("array<string>").alias("aliases"), F.array(F.lit("benchmark")).alias("sources"),
         F.create_map().cast("map<string,string>").alias("metadata"), F.array().cast("array<string>").alias("runtime_forms"),
     )
@@ -116,7 +118,18 @@ def geographic_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(s,) for s in X.SURFACES], "surface string").select("surface", T.is_place(F.col("surface")).alias("is_place"))
 
 
-@query()
+_GENERIC = ", ".join(f"'{p}'" for p in V.GENERIC)
+_NOISY = " OR ".join(f"contains(' ' || n || ' ', '{p}')" for p in V.NOISY_PHRASES)
+_NUMBERS = " OR ".join(f"starts_with(n, '{p}')" for p in V.NUMBER_PREFIXES)
+
+
+@query(
+    f"SELECT surface, CASE WHEN is_place OR n IN ({_GENERIC}) OR {_NOISY} OR regexp_full_match(n, '[0-9]+') OR {_NUMBERS} THEN false "
+    f"WHEN regexp_full_match(regexp_replace(surface, '[^A-Za-zА-Яа-яЁё0-9]+', '', 'g'), '[A-ZА-ЯЁ0-9]{{3,}}') THEN true WHEN len(t) = 0 THEN false "
+    f"WHEN len(t) >= 2 THEN len([x for x in t if NOT regexp_full_match(x, '[a-z]{{1,5}}')]) > 0 AND len([x for x in t if length(x) >= 2]) >= 2 "
+    f"ELSE NOT regexp_full_match(t[1], '[a-z]{{1,3}}|[а-я]{{1,4}}') END AS significant, length(replace(n, ' ', '')) >= 3 AS as_form "
+    f"FROM (SELECT surface, {NORM.format('surface')} AS n, {_tokens('surface')} AS t, is_place FROM ({ORACLE_SQL['geographic_filter']}))"
+)
 def surface_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("surface")
     return spark.createDataFrame([(x,) for x in X.SURFACES], "surface string").select("surface", T.is_significant(s).alias("significant"), T.is_significant_form(s).alias("as_form"))
@@ -127,34 +140,52 @@ def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", T.stable_id(F.lit("part"), F.col("p_name"), F.col("p_brand")).alias("id"))
 
 
-_LEAD = "SELECT item_id, array_to_string(regexp_extract_all(text, '[A-Za-z]+')[1:3], ' ') AS name FROM benchmark WHERE len(regexp_extract_all(text, '[A-Za-z]+')) >= 3"
-_SIGNIFICANT = "(regexp_full_match(replace(name, ' ', ''), '[A-Z0-9]{3,}') OR (NOT regexp_full_match(lower(name), '[a-z]{1,5}( [a-z]{1,5})*') AND len([t for t in string_split(name, ' ') if length(t) >= 2]) >= 2))"
-_KEYS = f"SELECT lower(name) AS key, list(item_id ORDER BY item_id) AS ids FROM ({_LEAD}) WHERE {_SIGNIFICANT} GROUP BY 1"
+_LEAD = """
+SELECT item_id, kind || item_id AS id, item_id * 2 + (kind = 'c')::INT AS ord, n, name FROM (
+  SELECT item_id, 2 + item_id % 3 AS n, array_to_string(regexp_extract_all(text, '[A-Za-z]+')[1 : 2 + item_id % 3], ' ') AS name, unnest(CASE WHEN item_id % 5 = 0 THEN ['b', 'c'] ELSE ['b'] END) AS kind
+  FROM benchmark WHERE len(regexp_extract_all(text, '[A-Za-z]+')) >= 2 + item_id % 3)
+"""
+_SIGNIFICANT = "(NOT starts_with(lower(name), 'id ') AND (regexp_full_match(replace(name, ' ', ''), '[A-Z0-9]{3,}') OR (NOT regexp_full_match(lower(name), '[a-z]{1,5}( [a-z]{1,5})*') AND len([t for t in string_split(name, ' ') if length(t) >= 2]) >= 2)))"
+_KEYS = f"SELECT lower(name) AS key, any_value(n) AS n, list(id ORDER BY ord) AS ids, arg_min(name, ord) AS name FROM ({_LEAD}) WHERE {_SIGNIFICANT} GROUP BY 1"
 
 
-@query(f"SELECT key, len(ids) AS n_entities, 'b' || ids[1] AS first_id FROM ({_KEYS})")
+@query(f"SELECT key, len(ids) AS n_entities, ids[1] AS first_id FROM ({_KEYS})")
 def dictionary_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = dictionary.keys(dictionary.terms(latin_registry(spark, sf_dir)))
     return k.select("key", F.size("entity_ids").cast("long").alias("n_entities"), F.get("entity_ids", F.lit(0)).alias("first_id"))
 
 
-@query(f"SELECT key, array_to_string(['b' || i for i in ids], ' ') AS ids FROM ({_KEYS}) WHERE len(ids) > 1")
+@query(f"SELECT key, array_to_string(ids, ' ') AS ids FROM ({_KEYS}) WHERE len(ids) > 1")
 def ambiguous_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = dictionary.keys(dictionary.terms(latin_registry(spark, sf_dir)))
     return k.where(F.size("entity_ids") > 1).select("key", F.array_join("entity_ids", " ").alias("ids"))
 
 
+_RUN = "[A-Za-zА-Яа-яЁё0-9]+"
 _HITS = f"""
-WITH keys AS ({_KEYS}),
-d AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-zА-Яа-яЁё0-9]+') AS t, regexp_split_to_array(text, '[A-Za-zА-Яа-яЁё0-9]+') AS s FROM documents),
-p AS (SELECT doc_id, t, s, unnest(range(1, len(t) - 1)) AS i FROM d),
-h AS (SELECT doc_id, lower(t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) AS key, i, t, s FROM p)
-SELECT doc_id, key, i, t, s FROM h JOIN keys USING (key)
-WHERE regexp_full_match(s[i + 1], '[^\\p{{L}}\\p{{N}}]+') AND regexp_full_match(s[i + 2], '[^\\p{{L}}\\p{{N}}]+') AND NOT suffix(s[i], '_') AND NOT prefix(s[i + 3], '_')
+keys AS ({_KEYS}),
+d AS MATERIALIZED (SELECT doc_id, text, regexp_extract_all(text, '{_RUN}') AS t, regexp_split_to_array(text, '{_RUN}') AS s FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(t) + 1)) AS i, unnest(t) AS token FROM d),
+c AS (SELECT doc_id, i, key, n, ids FROM p JOIN keys ON lower(p.token) = string_split(keys.key, ' ')[1]),
+h AS MATERIALIZED (SELECT c.doc_id, key, ids, (list_sum([length(x) for x in s[1 : i]]) + coalesce(list_sum([length(x) for x in t[1 : i - 1]]), 0))::INT AS b,
+  (list_sum([length(x) for x in s[1 : i + n - 1]]) + list_sum([length(x) for x in t[1 : i + n - 1]]))::INT AS e
+  FROM c JOIN d USING (doc_id) WHERE lower(array_to_string(t[i : i + n - 1], ' ')) = key AND NOT suffix(s[i], '_') AND NOT prefix(s[i + n], '_')
+  AND len([x for x in s[i + 1 : i + n - 1] if NOT regexp_full_match(x, '[^\\p{{L}}\\p{{N}}]+')]) = 0)
+"""
+#: Longest key first, then by key and place; what is accepted or shared occupies its span, and a key's hits don't overlap each other.
+_RESOLVED = f"""
+WITH RECURSIVE {_HITS},
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(key) DESC, key, b) AS rn FROM h),
+f AS (SELECT DISTINCT doc_id, 0::BIGINT AS rn, '' AS key, NULL::VARCHAR[] AS ids, 0 AS b, 0 AS e, 0 AS past, false AS kept, []::STRUCT(b INT, e INT)[] AS spans FROM o
+  UNION ALL SELECT doc_id, rn, key, ids, b, e, past, kept, CASE WHEN kept THEN list_append(spans, {{'b': b, 'e': e}}) ELSE spans END FROM (
+    SELECT o.doc_id, o.rn, o.key, o.ids, o.b, o.e, CASE WHEN o.key = f.key AND o.b < f.past THEN f.past ELSE o.e END AS past,
+      NOT (o.key = f.key AND o.b < f.past) AND len([x for x in f.spans if o.b < x.e AND o.e > x.b]) = 0 AS kept, f.spans
+    FROM f JOIN o ON o.doc_id = f.doc_id AND o.rn = f.rn + 1)),
+r AS MATERIALIZED (SELECT f.doc_id, ids, b, e, substr(text, b + 1, e - b) AS text FROM f JOIN documents USING (doc_id) WHERE kept)
 """
 
 
-@query(f"SELECT doc_id, key, count(*) AS n_hits FROM ({_HITS}) GROUP BY doc_id, key")
+@query(f"WITH {_HITS} SELECT doc_id, key, count(*) AS n_hits FROM h GROUP BY doc_id, key")
 def phrase_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     hits = matching.verified(docs, dictionary.keys(dictionary.terms(latin_registry(spark, sf_dir))))
@@ -166,14 +197,14 @@ def _resolved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return matching.mentions(table(spark, sf_dir, "documents").select("doc_id", "text"), entities), entities
 
 
-@query()
+@query(f"{_RESOLVED} SELECT doc_id, ids[1] AS entity_id, b AS start, e AS \"end\", text, 0.99::DOUBLE AS confidence, 'exact' AS match_type FROM r WHERE len(ids) = 1")
 def resolved_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = _resolved(spark, sf_dir)
     each = found.select("doc_id", F.explode("matches").alias("m"))
     return each.select("doc_id", "m.entity_id", F.col("m.start").alias("start"), F.col("m.end").alias("end"), "m.text", "m.confidence", "m.match_type")
 
 
-@query()
+@query(f"{_RESOLVED} SELECT doc_id, b AS start, e AS \"end\", text, array_to_string(ids, ' ') AS candidate_ids, 'ambiguous alias or name' AS reason FROM r WHERE len(ids) > 1")
 def ambiguous_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = _resolved(spark, sf_dir)
     each = found.select("doc_id", F.explode("ambiguous").alias("m"))
@@ -193,7 +224,28 @@ def fixture_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "m.entity_id", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.round(F.col("m.confidence") * 100).cast("int").cast("string").alias("percent"), "m.match_type")
 
 
-@query()
+def _marked(which: str) -> str:
+    """Documents with stars after the mentions of ``r`` that ``which`` takes, and a line for each entity under them."""
+    return f"""{_RESOLVED},
+m AS (SELECT r.doc_id, ids[1] AS id, b, e, coalesce(lag(e) OVER (PARTITION BY r.doc_id ORDER BY b), 0) AS before FROM r WHERE {which}),
+body AS (SELECT m.doc_id, string_agg(substr(text, before + 1, e - before) || '*', '' ORDER BY b) || substr(any_value(text), max(e) + 1) AS body FROM m JOIN documents USING (doc_id) GROUP BY m.doc_id),
+names AS (SELECT doc_id, string_agg('_* ' || name || ' — {V.STATUS_LABELS["extremist_material"]}_', chr(10) ORDER BY first) AS disclosure
+  FROM (SELECT doc_id, id, min(b) AS first FROM m GROUP BY doc_id, id) JOIN ({_LEAD}) USING (id) GROUP BY doc_id)
+SELECT doc_id, coalesce(disclosure, '') AS disclosure, sha256(CASE WHEN disclosure IS NULL THEN text ELSE body || chr(10) || chr(10) || disclosure END) AS marked_sha256
+FROM documents LEFT JOIN body USING (doc_id) LEFT JOIN names USING (doc_id)"""
+
+
+#: The fixture texts as they have to come out, worked by hand.
+_MARIA = f"_* Тестова Мария Примеровна — {V.STATUS_LABELS['foreign_agent']}_"
+_FIXTURE_MARKS = [
+    (-1, "Мария Тестова* дала комментарий.", _MARIA), (-2, "Комментарий Марии Тестовой*.", _MARIA), (-3, "Мария Тестова* пришла. Тестова* ответила.", _MARIA),
+    (-4, "В тексте есть Общее имя.", ""), (-5, "Ветка сломалась.", ""), (-6, "Проект «Ветка» закрыт.", ""),
+    (-7, "Проект городских наблюдений «Ветка*» закрыт.", f"_* Центр городских наблюдений Ветка — {V.STATUS_LABELS['foreign_agent']}_"),
+    (-8, "ЛВИ молчит. Лаборатория выдуманных измерений* ответила. ЛВИ* подтвердила.", f"_* Лаборатория Выдуманных Измерений — {V.STATUS_LABELS['undesirable_organization']}_"),
+]
+
+
+@query(f"{_marked('len(ids) = 1')} UNION ALL SELECT doc_id, disclosure, sha256(CASE WHEN disclosure = '' THEN body ELSE body || chr(10) || chr(10) || disclosure END) FROM {X.sql_values(_FIXTURE_MARKS, 'doc_id, body, disclosure')}")
 def marked_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, entities = _resolved(spark, sf_dir)
     ru = X.entities(spark)
@@ -202,7 +254,24 @@ def marked_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return presentation.annotate(both).select("doc_id", "disclosure", F.sha2("marked_text", 256).alias("marked_sha256"))
 
 
-@query()
+@query(_marked("true"))
+def applied_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text after a review in which the sure mentions and the first candidate of each unclear one were chosen."""
+    found, entities = _resolved(spark, sf_dir)
+    reviews = presentation.review_candidates(found)
+    first = F.filter("candidates", lambda c: c.selected_by_default | c.candidate_id.rlike(r"^ambiguous:\d+:\d+:\d+:0:"))
+    chosen = reviews.withColumn("selected", F.transform(first, lambda c: c.candidate_id))
+    return presentation.apply_reviews(chosen, entities).select("doc_id", "disclosure", F.sha2("marked_text", 256).alias("marked_sha256"))
+
+
+_SURE = [(1, 0, "e1"), (2, 0, "e1"), (3, 0, "e1"), (3, 1, "e1"), (7, 0, "e4"), (8, 0, "e5"), (8, 1, "e5")]
+_UNCLEAR = [(4, 0, 14, 23, "e2", 0), (4, 0, 14, 23, "e3", 1), (6, 0, 8, 13, "e4", 0)]
+
+
+@query(
+    f"SELECT doc_id::BIGINT AS doc_id, 'match:' || no AS candidate_id, 'match:' || no AS group_id, entity_id, false AS is_ambiguous, true AS selected_by_default FROM {X.sql_values(_SURE, 'doc_id, no, entity_id')} "
+    f"UNION ALL SELECT doc_id, concat_ws(':', 'ambiguous', no, b, e, k, entity_id), concat_ws(':', 'ambiguous', no, b, e), entity_id, true, false FROM {X.sql_values(_UNCLEAR, 'doc_id, no, b, e, entity_id, k')}"
+)
 def review_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = presentation.review_candidates(matching.mentions(X.texts(spark), X.entities(spark)))
     return c.select("doc_id", F.explode("candidates").alias("c")).select("doc_id", "c.candidate_id", "c.group_id", "c.entity_id", "c.is_ambiguous", "c.selected_by_default")
@@ -237,11 +306,14 @@ def select_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("id", F.explode(presentation.select_intervals(F.col("spans"))).alias("s")).select("id", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
 
 
-@query("SELECT conv_id, least(greatest(9, 1), greatest(ceil(count(*) / 3.0)::INT, 1)) AS page, greatest(ceil(count(*) / 3.0)::INT, 1) AS total_pages, count(*)::INT AS total_rows, array_to_string((list(turn ORDER BY turn))[(greatest(ceil(count(*) / 3.0)::INT, 1) - 1) * 3 + 1:], ',') AS turns FROM conversations GROUP BY conv_id")
+@query(
+    "SELECT conv_id, page, total_pages, total_rows, array_to_string(turns[(page - 1) * 3 + 1 : page * 3], ',') AS turns FROM (SELECT conv_id, least(greatest((conv_id % 6)::INT - 1, 1), total_pages) AS page, total_pages, total_rows, turns "
+    "FROM (SELECT conv_id, greatest(ceil(count(*) / 3.0)::INT, 1) AS total_pages, count(*)::INT AS total_rows, list(turn ORDER BY turn) AS turns FROM conversations GROUP BY conv_id))"
+)
 def paginate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page 9 of every conversation's turns, by three: the last page, as there are fewer."""
+    """Pages -1 to 4 of the conversations' turns, by three, held within bounds."""
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
-    p = rows.select("conv_id", presentation.paginate(F.col("turns"), F.lit(9), 3).alias("p"))
+    p = rows.select("conv_id", presentation.paginate(F.col("turns"), (F.col("conv_id") % 6).cast("int") - 1, 3).alias("p"))
     return p.select("conv_id", "p.page", "p.total_pages", "p.total_rows", F.array_join("p.rows", ",").alias("turns"))
 
 
@@ -274,9 +346,22 @@ def merged_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("id", "name", "entity_type", F.array_join("statuses", "|").alias("statuses"), F.array_join("aliases", "|").alias("aliases"), F.array_join("sources", "; ").alias("sources"))
 
 
-@query("SELECT o_orderstatus AS kind, count(*) AS entity_count FROM orders GROUP BY 1")
-def count_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("kind")).agg(F.count("*").alias("entity_count"))
+@query(f"SELECT count(*) AS entity_count, 'benchmark' AS sources FROM ({_LEAD})")
+def registry_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = registry.database_summary(latin_registry(spark, sf_dir))
+    return found.select("entity_count", F.array_join("sources", "|").alias("sources"))
+
+
+@query(
+    f"SELECT id, name, row_number() OVER (ORDER BY name, id) AS place, n_merged FROM (SELECT arg_min(id, ord) AS id, arg_min(name, ord) AS name, count(*) AS n_merged FROM ({_LEAD}) GROUP BY lower(name))"
+)
+def rebuilt_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged works in their order: equal names are one, under the first one's id and name."""
+    parts = latin_registry(spark, sf_dir)
+    merged = registry.merge(parts, _save(spark))
+    sizes = parts.groupBy(T.key(F.col("name")).alias("k")).agg(F.count("*").alias("n_merged"))
+    numbered = merged.select("id", "name", F.row_number().over(Window.orderBy("ord")).cast("long").alias("place"))  # a registry of some hundred works
+    return numbered.join(sizes, T.key(F.col("name")) == F.col("k")).select("id", "name", "place", "n_merged")
 
 
 @query()
@@ -290,13 +375,25 @@ def card_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CARDS = "card_id string, canonical_name string, entity_type string, official_statuses string, manual_statuses string, source_keys string, source_urls string, is_active string, notes string"
 
 
-@query()
+_ENTITY_ROWS = [(i, e[0], e[1], e[2], e[3][0], "|".join(e[4])) for i, e in enumerate(X.ENTITIES)]
+_ENTITY_VALUES = X.sql_values(_ENTITY_ROWS, "ord, id, name, entity_type, status, aliases")
+
+
+@query(
+    f"WITH e AS (SELECT * FROM {_ENTITY_VALUES}), c AS (SELECT * FROM {X.sql_values([('e1', 'old', 'person', '', 'extremist', '', '', '0', 'n'), ('gone', 'Gone', 'person', '', '', 's', '', '1', '')], 'card_id, canonical_name, entity_type, official_statuses, manual_statuses, source_keys, source_urls, is_active, notes')}) "
+    "SELECT coalesce(e.id, card_id) AS card_id, coalesce(name, canonical_name) AS canonical_name, coalesce(e.entity_type, c.entity_type) AS entity_type, coalesce(status, official_statuses) AS official_statuses, "
+    "coalesce(manual_statuses, '') AS manual_statuses, CASE WHEN e.id IS NOT NULL THEN 'test' ELSE source_keys END AS source_keys, CASE WHEN e.id IS NOT NULL THEN '' ELSE source_urls END AS source_urls, coalesce(is_active, '1') AS is_active, coalesce(notes, '') AS notes "
+    "FROM c FULL OUTER JOIN e ON c.card_id = e.id"
+)
 def card_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards = spark.createDataFrame([("e1", "old", "person", "", "extremist", "", "", "0", "n"), ("gone", "Gone", "person", "", "", "s", "", "1", "")], _CARDS)
     return registry.sync_cards(cards, X.entities(spark))
 
 
-@query()
+@query(
+    f"WITH e AS (SELECT * FROM {_ENTITY_VALUES}), a AS (SELECT * FROM {X.sql_values([('e1', 'Маша'), ('e9', 'none')], 'card_id, alias')}) "
+    "SELECT id, CASE WHEN id = 'e1' THEN status || '|terrorist|extremist' ELSE status END AS statuses, concat_ws('|', nullif(aliases, ''), alias) AS aliases, CASE WHEN id = 'e1' THEN 'note' ELSE '' END AS notes FROM e LEFT JOIN a ON e.id = a.card_id"
+)
 def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards = spark.createDataFrame([("e1", "", "", "", "extremist; terrorist", "", "", "1", "note")], _CARDS)
     aliases = spark.createDataFrame([("e1", "Маша", 0), ("e9", "none", 1)], "card_id string, alias string, ord long")
@@ -307,16 +404,24 @@ def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FEW = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</(?:p|div|li|tr|td|th|h[1-6]|section|article)>', chr(10), 'g'), '(?s)<[^>]+>', ' ', 'g')"
 
 
-@query(f"SELECT page_id, count(*) AS n_lines FROM (SELECT page_id::VARCHAR AS page_id, unnest(string_split({_FEW}, chr(10))) AS l FROM pages) WHERE trim(regexp_replace(l, '\\s+', ' ', 'g')) <> '' GROUP BY page_id")
+_DECODED = "replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
+
+
+@query(
+    f"SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY no) - 1)::INT AS line, md5(text) AS digest FROM (SELECT page_id, no, trim(regexp_replace(l, '\\s+', ' ', 'g')) AS text "
+    f"FROM (SELECT page_id::VARCHAR AS page_id, unnest(string_split(x, chr(10))) AS l, unnest(range(0, len(string_split(x, chr(10))))) AS no FROM (SELECT page_id, {_DECODED.format(_FEW)} AS x FROM pages))) WHERE text <> ''"
+)
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = files.html_lines(table(spark, sf_dir, "pages"), "page_id", "html")
-    return found.groupBy(F.col("file").alias("page_id")).agg(F.count("*").alias("n_lines"))
+    lines = found.select(F.col("file").alias("page_id"), "line", "text")
+    before = Window.partitionBy("page_id").orderBy("line")
+    return lines.select("page_id", (F.row_number().over(before) - 1).alias("line"), F.md5("text").alias("digest"))
 
 
-@query("SELECT page_id, len(l) AS n_links, l[1] AS first_link FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*\"([^\"]*)\"', 1) AS l FROM pages)")
+@query("SELECT page_id, len(l) AS n_links, array_to_string(l, ' ') AS links FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*\"([^\"]*)\"', 1) AS l FROM pages)")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = web.hrefs(F.col("html"))
-    return table(spark, sf_dir, "pages").select("page_id", F.size(links).cast("long").alias("n_links"), F.get(links, F.lit(0)).alias("first_link"))
+    return table(spark, sf_dir, "pages").select("page_id", F.size(links).cast("long").alias("n_links"), F.array_join(links, " ").alias("links"))
 
 
 @query()
@@ -332,14 +437,13 @@ def split_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", "no", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
 
 
-@query("SELECT conv_id, turn, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) AS digest FROM conversations WHERE NOT contains(text, '_')")
-def message_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where(~F.col("text").contains("_")).select("conv_id", "turn", F.md5(presentation.to_html(F.col("text"))).alias("digest"))
+_ESCAPED = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+#: Marks are single: in runs of underscores none counts, so runs are hidden, and then a mark is any that is left.
+_HIDDEN = f"replace(replace({_ESCAPED}, '__', chr(1) || chr(1)), chr(1) || '_', chr(1) || chr(1))"
 
 
-@query()
-def message_html_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every message; DuckDB's expressions have no look-around for the italics rule, so a test compares with brute force."""
+@query(f"SELECT conv_id, turn, md5(replace(regexp_replace({_HIDDEN}, '_([^_\\n\\x01]+)_', '<i>\\1</i>', 'g'), chr(1), '_')) AS digest FROM conversations")
+def message_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(presentation.to_html(F.col("text"))).alias("digest"))
 
 
