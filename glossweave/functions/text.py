@@ -24,8 +24,18 @@ ALIAS = rf"{_OPEN}(.+?){_CLOSE}|\((.+?)\)"
 _ENDING = "|".join(sorted(V.ENDINGS, key=len, reverse=True))
 
 
+def quoted(value: str) -> str:
+    """A string as an SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def lits(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """An array of strings; parsed as one expression, as every literal on its own is a call to the JVM."""
+    return F.expr(f"array({', '.join(map(quoted, values))})")
+
+
+def one_of(c: Column, values: list[str]) -> Column:
+    return F.array_contains(lits(values), c)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -95,14 +105,14 @@ def is_place(c: Column) -> Column:
     n = normalize(c)
     t = tokens_of(n)
     rest = F.array_join(F.slice(t, 2, 1 << 20), " ")
-    meaningful = F.array_join(F.filter(t, lambda x: ~x.isin(V.ADMIN_WORDS)), " ")
+    meaningful = F.array_join(F.filter(t, lambda x: ~one_of(x, V.ADMIN_WORDS)), " ")
     return (
         F.when(n == "", False)
-        .when(n.isin(V.PLACES), True)
-        .when((F.get(t, F.lit(0)) == "город") & rest.isin(V.CITIES), True)
-        .when((F.get(t, F.lit(0)) == "республика") & rest.isin(V.REPUBLICS), True)
-        .when(F.try_element_at(t, F.lit(-1)).isin(V.REGION_KINDS), n.isin(V.REGIONS))
-        .otherwise((meaningful == "") | meaningful.isin(V.PLACES))
+        .when(one_of(n, V.PLACES), True)
+        .when((F.get(t, F.lit(0)) == "город") & one_of(rest, V.CITIES), True)
+        .when((F.get(t, F.lit(0)) == "республика") & one_of(rest, V.REPUBLICS), True)
+        .when(one_of(F.try_element_at(t, F.lit(-1)), V.REGION_KINDS), one_of(n, V.REGIONS))
+        .otherwise((meaningful == "") | one_of(meaningful, V.PLACES))
     )
 
 
@@ -119,7 +129,7 @@ def is_significant(c: Column) -> Column:
     for prefix in V.NUMBER_PREFIXES:
         number = number | n.startswith(prefix)
     return (
-        F.when(is_place(c) | n.isin(V.GENERIC) | noisy | number, False)
+        F.when(is_place(c) | one_of(n, V.GENERIC) | noisy | number, False)
         .when(compact(c).rlike("^[A-ZА-ЯЁ0-9]{3,}$"), True)
         .when(F.size(t) == 0, False)
         .when(F.size(t) >= 2, ~F.forall(t, lambda x: x.rlike("^[a-z]{1,5}$")) & (F.size(F.filter(t, lambda x: F.length(x) >= 2)) >= 2))
@@ -206,7 +216,7 @@ def acronym(c: Column, stops: list[str], by_length_first: bool) -> Column:
 
     The registry drops one-letter words before it counts words, the matcher after.
     """
-    words = F.filter(tokens(c), lambda t: ~t.isin(stops) & ((F.length(t) > 1) | F.lit(not by_length_first)))
+    words = F.filter(tokens(c), lambda t: ~one_of(t, stops) & ((F.length(t) > 1) | F.lit(not by_length_first)))
     initials = F.upper(F.array_join(F.transform(F.filter(words, lambda t: F.length(t) > 1), lambda t: F.substring(t, 1, 1)), ""))
     return F.when((F.size(words) >= 2) & F.length(initials).between(2, 8), initials).otherwise(F.lit(""))
 
