@@ -104,6 +104,7 @@ def _placed(docs: DataFrame, source: str = "source", blocks: int = 64, seed: int
     each = placed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.greatest(last - 1, F.lit(0))))).where("quota > 0")
     each = each.withColumn("key", key(seed, F.col("pass"), F.col("doc_id"), F.col("digest")))
     each = staging.write(each.withColumn("range", F.expr(f"key DIV ({1 << 60}L DIV ranges)")), "placed")
+    staging.keep("placed")
     # only a source's last pass can be cut short
     sums = each.groupBy("source", "pass", "range").agg(F.sum("tokens").alias("n"))
     by_range = Window.partitionBy("source", "pass").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
