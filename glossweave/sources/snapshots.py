@@ -137,14 +137,24 @@ def export_bundle(entities: DataFrame, forms: DataFrame, path: str, version: str
         rows = [r.json for r in df.toLocalIterator()]
         text = rows[0] if name == "sources.json" else "[" + ",\n".join(rows) + "]"
         contents[name] = text.encode()
+    content, sums = _zipped(contents, version)
+    write_bytes(entities.sparkSession, path, content)
+    return sums
+
+
+def _zipped(contents: dict[str, bytes], version: str) -> tuple[bytes, dict[str, str]]:
     sums = {name: hashlib.sha256(content).hexdigest() for name, content in contents.items()}
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, content in contents.items():
             z.writestr(name, content)
         z.writestr("manifest.json", json.dumps({"version": version, "files": sums}, ensure_ascii=False))
-    write_bytes(entities.sparkSession, path, out.getvalue())
-    return sums
+    return out.getvalue(), sums
+
+
+def packed(spark: SparkSession, folder: str, version: str) -> bytes:
+    """A bundle of the files of an unpacked registry, as they are."""
+    return _zipped({name: read_bytes(spark, f"{folder}/{name}") for name in BUNDLE_FILES}, version)[0]
 
 
 def open_bundle(content: bytes) -> dict[str, bytes]:

@@ -210,3 +210,18 @@ def test_outbox(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/json").count() == len(X.TEXTS)
     sinks.write_texts(presentation.annotate(presentation.with_entities(found, entities)), f"{tmp_path}/texts")
     assert spark.read.json(f"{tmp_path}/texts").count() == len(X.TEXTS)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from glossweave import cli
+
+    folder, listed = f"file://{tmp_path}/registry", tmp_path / "list.html"
+    listed.write_text("".join(f"<p>{x}</p>" for x in X.LIST_LINES), encoding="utf-8")
+    assert cli.main(["--registry", folder, "--update", f"rosfinmonitoring=file://{listed}", "--version", "v9", "--export", f"file://{tmp_path}/out.zip"], spark) == 0
+    assert json.loads(snapshots.open_bundle(snapshots.read_bytes(spark, f"file://{tmp_path}/out.zip"))["manifest.json"])["version"] == "v9"
+    assert cli.main(["--registry", folder, "--text", "Здесь Второй Пример.", "--json"], spark) == 0
+    out = capsys.readouterr().out
+    assert "Здесь Второй Пример*." in out and '"match_type":"exact"' in out
+    assert not [p for p in (tmp_path / "registry").iterdir() if p.name.startswith("scratch")]
+    with pytest.raises(SystemExit):
+        cli.main(["--registry", folder], spark)
