@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,13 +39,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _save(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
-    """Intermediate tables in the session's shared folder."""
-    import uuid
-
+    """Intermediate tables in the session's shared folder; a local session without one gets a folder that goes with the process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        folder = f"file://{tempfile.mkdtemp(prefix='glossweave-')}" if local else spark.conf.get("spark.sql.warehouse.dir") + "/_staging"
+        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+            made = tempfile.mkdtemp(prefix="glossweave-")
+            atexit.register(shutil.rmtree, made, ignore_errors=True)
+            folder = f"file://{made}"
+        else:
+            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging"
+        spark.conf.set("spark.checkpoint.dir", folder)
     root = f"{folder.rstrip('/')}/registry-{uuid.uuid4().hex}"
 
     def save(df: DataFrame, name: str) -> DataFrame:
