@@ -166,14 +166,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bucket_limit: int = 512,
     return prints.join(of, "fp").select("doc_id", "fp", "component_id", "n_docs", "group")
 
 
+def text_pairs(docs: DataFrame, staging: Staging, shingle: int = 5, bucket_limit: int = 512) -> DataFrame:
+    """(src, dst): pairs of text keys that the fingerprints propose: a text with the first one of its fingerprint, and the first ones of linked fingerprints."""
+    keyed = docs.select(similar_texts.text_key().alias("doc_id"), "text")
+    prints = staging.write(fingerprints(keyed, shingle).distinct().withColumnRenamed("doc_id", "key"), "prints")
+    classes = staging.write(prints.groupBy("fp").agg(F.min("key").alias("first")), "print_classes")
+    equal = prints.join(classes, "fp").where("key <> first").select(F.col("first").alias("src"), F.col("key").alias("dst"))
+    first = lambda side: classes.select(F.col("fp").alias(f"{side}_fp"), F.col("first").alias(side))
+    near = links(classes.select("fp"), staging, bucket_limit).toDF("src_fp", "dst_fp").join(first("src"), "src_fp").join(first("dst"), "dst_fp").select("src", "dst")
+    pairs = equal.unionByName(near).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    return staging.write(pairs, "print_pairs")
+
+
 def apply_near_duplicates(docs: DataFrame, similarity: float | None = None, **options) -> DataFrame:
     """One row of each component, as it was: of the smallest id, and of its rows that of the least text hash; rows without an id come last.
 
-    With a ``similarity`` of shingle sets in place of two differing bits, texts are
-    linked by `similar_texts`, as no radius that masks can cover reaches it.
+    With a ``similarity`` of shingle sets, the pairs that the covering masks find are
+    verified on the shingles, and `similar_texts` adds the links between their
+    components that differ in more bits than masks can cover.
     """
     if similarity is not None:
-        return similar_texts.apply_similar_texts(docs, similarity=similarity, **options)
+        staging = options.pop("staging", None) or Staging(docs.sparkSession, "covering_simhash")
+        shingle = options.get("shingle", 5)
+        pairs = text_pairs(docs, staging, shingle, options.pop("bucket_limit", 512))
+        return similar_texts.apply_similar_texts(docs, similarity=similarity, pairs=pairs, staging=staging, **options)
     prints = near_duplicates(docs, **options)
     # a component without any id goes by the smallest fingerprint that it reaches
     wanted = prints.groupBy("group").agg(F.min("component_id").alias("least"), F.min("fp").alias("first"))

@@ -1,7 +1,9 @@
-"""Near copies by verified similarity of their word shingles: `covering_simhash` for a similarity instead of a radius.
+"""Near copies by verified similarity of their word shingles: what `covering_simhash` can't reach of a similarity.
 
-Texts of similarity 0.8 differ in some ten of 64 SimHash bits, and masks that cover
-such a radius would keep next to nothing, so pairs come from MinHash here.
+Pairs that fingerprints propose come in first: they are verified, and their
+components are taken as they are.  Texts of similarity 0.8 differ in some ten of 64
+SimHash bits, and masks that cover such a radius would keep next to nothing, so the
+links between those components come from MinHash.
 
 Two texts are linked if their sets of ``shingle``-word shingles (A-Z
 lower-cased) have a Jaccard similarity of at least ``similarity``.  Pairs are
@@ -126,31 +128,49 @@ def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     return joined.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
 
 
-def links(docs: DataFrame, staging: Staging, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(src, dst): links between text keys that leave their components as all links would."""
+def _first_links(docs: DataFrame, pairs: DataFrame, staging: Staging, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The given pairs that are similar enough, and (node, component) of what they link."""
+    wanted = staging.write(pairs.select(F.explode(F.array("src", "dst")).alias("key")).distinct(), "given_keys")
+    texts = docs.select(text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    found = staging.write(_verify(pairs, staging.write(texts, "given_texts"), shingle, similarity), "given_links", rows=PAIR_ROWS)
+    return found, connected_components(found, lambda df, name: staging.write(df, f"given_{name}"))
+
+
+def links(docs: DataFrame, staging: Staging, shingle: int = 5, similarity: float = 0.8, pairs: DataFrame | None = None) -> DataFrame:
+    """(src, dst): links between text keys that leave their components as all links would; ``pairs`` (src, dst) are tried first."""
     near = F.least("m", "n") >= F.greatest("m", "n") * similarity - 1e-9
     signed = staging.write(signatures(docs, shingle), "signatures")
-    members = signed.dropDuplicates(["key"]).select("key", "n", F.explode("bands").alias("bucket"))
+    distinct = signed.dropDuplicates(["key"])
+    first = None
+    if pairs is not None:
+        first, groups = _first_links(docs, pairs, staging, shingle, similarity)
+        distinct = distinct.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    else:
+        distinct = distinct.withColumn("component", F.col("key"))
+    members = distinct.select("key", "n", "component", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     buckets = staging.write(members.join(sizes, "bucket"), "buckets")
     enough = agreeing("sketch", "other_sketch") >= least_agreement(similarity)
-    lengths = buckets.groupBy("key").agg(F.first("n").alias("n"))
+    lengths = buckets.groupBy("key").agg(F.first("n").alias("n"), F.first("component").alias("component"))
     sketches = staging.write(signed.dropDuplicates(["key"]).join(lengths.select("key"), "key", "left_semi").select("key", "sketch"), "sketches")
     other_sketches = sketches.select(F.col("key").alias("dst"), F.col("sketch").alias("other_sketch"))
-    texts = docs.select(text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text")).join(lengths, "key", "left_semi").dropDuplicates(["key"])
+    texts = docs.select(text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text")).join(lengths.select("key"), "key", "left_semi").dropDuplicates(["key"])
     texts = staging.write(texts, "texts")
 
-    small = buckets.where(F.col("size") <= SMALL).select("bucket", "key", "n")
-    pairs = small.join(small.select("bucket", F.col("key").alias("dst"), F.col("n").alias("m")), "bucket").where((F.col("key") < F.col("dst")) & near)
+    apart = F.col("component") != F.col("other")
+    small = buckets.where(F.col("size") <= SMALL).select("bucket", "key", "n", "component")
+    within = small.join(small.select("bucket", F.col("key").alias("dst"), F.col("n").alias("m"), F.col("component").alias("other")), "bucket").where((F.col("key") < F.col("dst")) & near & apart)
     large = buckets.where(F.col("size") > SMALL).select("bucket", "key", "n")
     leaders = large.groupBy("bucket").agg(F.array_compact(F.array(*[F.min(F.when(F.pmod("key", F.lit(4)) == j, F.col("key"))) for j in range(4)])).alias("leaders"))
     led = large.join(leaders, "bucket").select("key", F.explode("leaders").alias("dst")).where("key <> dst").distinct()
-    led = led.join(lengths.select("key", "n"), "key").join(lengths.select(F.col("key").alias("dst"), F.col("n").alias("m")), "dst").where(near)
+    led = led.join(lengths, "key").join(lengths.select(F.col("key").alias("dst"), F.col("n").alias("m"), F.col("component").alias("other")), "dst").where(near & apart)
     ordered = lambda df: df.select(F.least("key", "dst").alias("src"), F.greatest("key", "dst").alias("dst")).distinct()
-    proposed = ordered(pairs.select("key", "dst").unionByName(led.select("key", "dst")))
+    proposed = ordered(within.select("key", "dst").unionByName(led.select("key", "dst")))
     alike = proposed.join(sketches.withColumnRenamed("key", "src"), "src").join(other_sketches, "dst").where(enough).select("src", "dst")
     tried = staging.write(alike, "pairs0")
     found = staging.write(_verify(tried, texts, shingle, similarity), "links0", rows=PAIR_ROWS)
+    if first is not None:
+        found = found.unionByName(first)
     if large.isEmpty():
         return found
     groups = connected_components(found, lambda df, name: staging.write(df, f"first_{name}"))
@@ -159,15 +179,15 @@ def links(docs: DataFrame, staging: Staging, shingle: int = 5, similarity: float
     mixed = large.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
     large = staging.write(large.join(mixed, "bucket").join(sketches, "key").select("bucket", "key", "n", "component", "sketch"), "mixed")
     other = large.select("bucket", F.col("key").alias("dst"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("sketch").alias("other_sketch"))
-    rest = large.join(other, "bucket").where((F.col("key") < F.col("dst")) & (F.col("component") != F.col("other")) & near & enough)
+    rest = large.join(other, "bucket").where((F.col("key") < F.col("dst")) & apart & near & enough)
     rest = staging.write(ordered(rest).join(tried, ["src", "dst"], "left_anti"), "pairs1")
     return found.unionByName(staging.write(_verify(rest, texts, shingle, similarity), "links1", rows=PAIR_ROWS))
 
 
-def apply_similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, staging: Staging | None = None) -> DataFrame:
+def apply_similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, staging: Staging | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """One document of each component, once, as it was."""
     staging = staging or Staging(docs.sparkSession, "similar_texts")
-    edges = staging.write(links(docs, staging, shingle, similarity), "links")
+    edges = staging.write(links(docs, staging, shingle, similarity, pairs), "links")
     groups = connected_components(edges, lambda df, name: staging.write(df, name))
     # the input's columns go in one struct, so that no name can clash
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), text_key().alias("key"))

@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from glossweave.llm import similar_texts
+from glossweave.llm import covering_simhash, similar_texts
+from glossweave.llm.staging import Staging
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -60,3 +62,20 @@ def test_rows_without_an_id_and_equal_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     got = sorted((-1 if x.doc_id is None else x.doc_id, x.text) for x in similar_texts.apply_similar_texts(df).collect())
     assert got == sorted([(7, a), (7, b), (-1, c)])
+
+
+def test_fingerprints_propose_and_shingles_decide(spark, monkeypatch):
+    """The masks' pairs alone bring near copies together; texts with one fingerprint and unlike shingles stay, others are left to MinHash."""
+    r = random.Random(8)
+    prose = lambda k: " ".join("w%d" % r.getrandbits(30) for _ in range(k))
+    base = prose(1500)
+    loop = prose(5)
+    texts = [base, base + " end", *((loop + " ") * 400 + prose(40) for _ in range(2)), prose(60), prose(60)]
+    assert (covering_simhash.fingerprint(texts[0].encode(), 5) ^ covering_simhash.fingerprint(texts[1].encode(), 5)).bit_count() <= 2
+    assert (covering_simhash.fingerprint(texts[2].encode(), 5) ^ covering_simhash.fingerprint(texts[3].encode(), 5)).bit_count() <= 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    assert covering_simhash.text_pairs(df, Staging(spark, "test")).count() == 2
+    # no MinHash key is shared, so what goes goes by its fingerprint
+    monkeypatch.setattr(similar_texts, "signatures", lambda docs, shingle: docs.select(similar_texts.text_key().alias("key"), F.lit(1).alias("n"), F.array(similar_texts.text_key()).alias("bands"), F.array(F.lit(0).cast("long")).alias("sketch")))
+    kept = corpus_pipeline.near_duplicates(spark, df, "")
+    assert sorted(x.doc_id for x in kept.collect()) == [0, 2, 3, 4, 5]
