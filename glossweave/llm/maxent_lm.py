@@ -7,9 +7,12 @@ their count, and words unseen in training are one class with one event.  A power
 of two that ``SPLIT`` words or fewer have is split by hash into classes of some
 ``MEMBERS`` words, so that they stay small: there the second factor is a softmax
 over the class's words, of their frequency as bias and hashed features (the class
-with the last word, and with the last two).  In classes of more words it is the
-maximum-entropy solution with the word's frequency as its one feature: its share
-of the class.  The first factor is a softmax of a bias and hashed features: the
+with the last word, and with the last two).  A class of more words is a tree: a
+part of the power of two (``SUBS`` of equal width, their masses as bias), then the
+digits, to base ``BASE``, of a leaf's number, which is a hash of the word, then the
+word in its leaf of some ``MEMBERS`` words.  Each node is a softmax with the same two
+features, so every word of the vocabulary has trained factors of its own; a leaf
+without a word takes its share of the probability with it.  The first factor is a softmax of a bias and hashed features: the
 last word, the last two words, and the word before the last (a skip).
 
 The rows of hashed features grow with the square root of the training tokens, from
@@ -44,7 +47,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -54,6 +57,7 @@ END = np.uint64(0x9D5C3B1A70F2E846)  # the end token's hash
 START = np.uint64(0x1F83D9ABFB41BD6B)
 KINDS, INNER, MAX_BITS = 3, 2, 15
 HEAD_SHARE, SPLIT, MEMBERS = 32, 256, 24
+SUBS, BASE, LEAF = 8, 16, 20  # parts of a power of two, children of a node, bits of a place in a leaf
 BATCH, FAN = 4096, 32
 BLOCKS = "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, codes binary, hashes array<long>, train array<int>"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -111,6 +115,8 @@ class Classes:
     words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # of small classes, sorted
     slots: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # their places in their classes
     inner: np.ndarray = field(default_factory=lambda: np.zeros((1, 1), np.float32))  # log shares by class and place
+    tree: np.ndarray = field(default_factory=lambda: np.zeros((64, SUBS, 2), np.int64))  # mass and leaves of the parts of large classes
+    widest: int = 1  # words of the largest leaf
 
     @property
     def bits(self) -> int:
@@ -139,6 +145,32 @@ class Classes:
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         return np.where((self.words[at] == hashes) & (counts > 0), self.slots[at], -1)
 
+    @property
+    def large(self) -> list[int]:
+        """Powers of two whose class is a tree."""
+        return np.flatnonzero(self.tree[:, :, 1].any(1)).tolist()
+
+    def place(self, vocabulary: DataFrame) -> DataFrame:
+        """(hash, c, place): of a word in a tree its place in its leaf and, shifted by ``LEAF`` bits, the leaf's words; else 0."""
+        b = _power(F.col("c"))
+        in_tree = (F.col("c") * HEAD_SHARE < self.n) & b.isin(self.large) if self.large else F.lit(False)
+        leaves = F.array(*[F.lit(int(x)) for x in self.tree[:, :, 1].ravel()])
+        x = vocabulary.where(in_tree).withColumn("b", b).withColumn("sub", _sub(F.col("c"), F.col("b")))
+        x = x.withColumn("leaf", F.shiftrightunsigned("hash", 20) % F.get(leaves, F.col("b") * SUBS + F.col("sub")))
+        mine = Window.partitionBy("b", "sub", "leaf")
+        k, at = F.count("*").over(mine), F.row_number().over(mine.orderBy("hash")) - 1
+        return x.select("hash", "c", (k * (1 << LEAF) + at).alias("place")).unionByName(vocabulary.where(~in_tree).select("hash", "c", F.lit(0).cast("long").alias("place")))
+
+
+def _power(c: Column) -> Column:
+    return F.floor(F.log2(c)).cast("int")  # exact for counts below 2**48
+
+
+def _sub(c: Column, b: Column) -> Column:
+    """The part of its power of two that a count is in."""
+    width = F.pow(F.lit(2.0), b)
+    return F.floor((c - width) * SUBS / width).cast("int")
+
 
 def _classes(vocabulary: DataFrame) -> Classes:
     seen = vocabulary.where("c > 0")
@@ -147,11 +179,14 @@ def _classes(vocabulary: DataFrame) -> Classes:
         return Classes(0, 0)
     out = Classes(int(total.n), int(total.v))
     head = seen.where(F.col("c") * HEAD_SHARE >= out.n).orderBy("hash").collect()  # HEAD_SHARE words at most
-    power = lambda c: F.floor(F.log2(c)).cast("int")  # noqa: E731  exact for counts below 2**48
-    rest = seen.where(F.col("c") * HEAD_SHARE < out.n).withColumn("b", power(F.col("c")))
+    rest = seen.where(F.col("c") * HEAD_SHARE < out.n).withColumn("b", _power(F.col("c")))
     by_bin = {r.b: (int(r.m), int(r.w)) for r in rest.groupBy("b").agg(F.sum("c").alias("m"), F.count("*").alias("w")).collect()}  # 64 at most
     small = [b for b, (_, w) in by_bin.items() if w <= SPLIT]
     members = rest.where(F.col("b").isin(small)).orderBy("b", "hash").collect() if small else []  # 64 * SPLIT words at most
+    parts = rest.groupBy("b", _sub(F.col("c"), F.col("b")).alias("sub")).agg(F.sum("c").alias("m"), F.count("*").alias("w")).collect()  # 64 * SUBS at most
+    for r in parts:
+        if r.b not in small:
+            out.tree[r.b, r.sub] = r.m, -(-r.w // MEMBERS)
     n_classes = 1
     for b in sorted(by_bin):
         out.bins[b], out.parts[b] = n_classes, -(-by_bin[b][1] // MEMBERS) if b in small else 1
@@ -177,7 +212,7 @@ def _classes(vocabulary: DataFrame) -> Classes:
         out.inner[klass, slot] = np.log(counts / out.mass[klass])
         by_hash = np.argsort(hashes)
         out.words, out.slots = hashes[by_hash], slot[by_hash]
-    left_out = {r.b1: int(r.m) for r in rest.groupBy(F.when(F.col("c") == 1, -1).otherwise(power(F.col("c") - 1)).alias("b1")).agg(F.sum("c").alias("m")).collect()}
+    left_out = {r.b1: int(r.m) for r in rest.groupBy(F.when(F.col("c") == 1, -1).otherwise(_power(F.col("c") - 1)).alias("b1")).agg(F.sum("c").alias("m")).collect()}
     label = np.full(n_classes, 0.5)
     for b, m in left_out.items():
         near = next((x for x in range(b, -1, -1) if x in out.bins), None) if b >= 0 else None
@@ -198,7 +233,7 @@ class Weights:
 
     @classmethod
     def zeros(cls, model: Classes) -> Weights:
-        return cls(np.zeros((KINDS, 1 << model.bits, len(model.bias)), np.float32), np.zeros((INNER, 1 << model.bits, model.inner.shape[1]), np.float32))
+        return cls(np.zeros((KINDS, 1 << model.bits, len(model.bias)), np.float32), np.zeros((INNER, 1 << model.bits, max(model.inner.shape[1], BASE * bool(model.large), model.widest)), np.float32))
 
     def copy(self) -> Weights:
         return Weights(self.outer.copy(), self.inner.copy())
@@ -221,6 +256,9 @@ class Block:
     slot: np.ndarray
     features: np.ndarray
     near: np.ndarray  # features inside the class
+    codes: np.ndarray
+    contexts: tuple[np.ndarray, np.ndarray]
+    tree: dict[str, np.ndarray]  # of each word in a tree: power of two (-1 for all others), part, leaf, place, words of the leaf
 
     @classmethod
     def read(cls, row: dict, model: Classes) -> Block:
@@ -247,7 +285,13 @@ class Block:
         features = np.stack([row_of(f) for f in (last, both, skip)])
         mine = K.mix(klass.astype(np.uint64) + np.uint64(11))[codes]
         near = np.stack([row_of(K.mix(f ^ mine)) for f in (last, both)])
-        return cls(row, model, sizes, counts[codes], klass[codes].astype(np.int16), label[codes].astype(np.int16), model.slot(hashes, counts)[codes].astype(np.int16), features, near)
+        power = np.frexp(np.maximum(counts, 1))[1] - 1
+        place = np.zeros(len(hashes), np.int64)
+        place[np.asarray(row["positions"], np.int64)] = np.asarray(row["places"], np.int64)
+        part = ((counts - (1 << power)) * SUBS >> power) * (place > 0)
+        leaf = ((hashes >> np.uint64(20)) % np.maximum(model.tree[power, part, 1], 1).astype(np.uint64)).astype(np.int64)
+        tree = {"power": np.where(place > 0, power, -1), "part": part, "leaf": leaf, "place": place & (1 << LEAF) - 1, "words": place >> LEAF}
+        return cls(row, model, sizes, counts[codes], klass[codes].astype(np.int16), label[codes].astype(np.int16), model.slot(hashes, counts)[codes].astype(np.int16), features, near, codes, (last, both), tree)
 
     def logits(self, at: np.ndarray | slice, weights: Weights) -> np.ndarray:
         out = self.model.bias + weights.outer[0][self.features[0][at]]
@@ -260,7 +304,40 @@ class Block:
         """Of the words of each token's class; places that the class doesn't fill are minus infinity."""
         out = self.model.inner[self.klass[at]]
         for k in range(INNER):
-            out += weights.inner[k][self.near[k][at]]
+            out += weights.inner[k][self.near[k][at], : out.shape[1]]
+        out -= out.max(1, keepdims=True)
+        return out
+
+    def steps(self, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Down the trees of the tokens at ``at``: which of them, features, bias of each child, and the child taken."""
+        code = self.codes[at]
+        power, part, leaf, place, words = (self.tree[n][code] for n in ("power", "part", "leaf", "place", "words"))
+        shift = np.uint64(64 - self.model.bits)
+
+        def features(who: np.ndarray, level: int, node: np.ndarray) -> np.ndarray:
+            number = (((power[who] * SUBS + part[who] * (level > 0)) * 64 + level) << 40) + node
+            mine = K.mix(number.astype(np.uint64) + np.uint64(17))
+            return np.stack([((K.mix(f[at[who]] ^ mine) * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.uint16) for f in self.contexts])
+
+        log = lambda x: np.log(np.maximum(x, 1e-300), where=x > 0, out=np.full(x.shape, -np.inf)).astype(np.float32)
+        all_ = np.arange(len(at))
+        yield all_, features(all_, 0, np.zeros(len(at), np.int64)), log(self.model.tree[power, :, 0] / self.model.tree[power, :, 0].sum(1, keepdims=True)), part
+        leaves, level, unit = self.model.tree[power, part, 1], 1, 1
+        who = np.flatnonzero(leaves > 1)
+        while len(who):
+            below = leaf[who] % unit
+            # how many leaves' numbers end in each child's digits
+            under = np.maximum((leaves[who] - 1 - below)[:, None] - np.arange(BASE) * unit, -unit * BASE) // (unit * BASE) + 1
+            yield who, features(who, level, below), log(under / under.sum(1, keepdims=True)), leaf[who] // unit % BASE
+            level, unit = level + 1, unit * BASE
+            who = who[leaves[who] > unit]
+        wide = int(words.max(initial=1))
+        yield all_, features(all_, 63, leaf), log((np.arange(wide) < words[:, None]) / words[:, None]), place
+
+    def step_logits(self, rows: np.ndarray, bias: np.ndarray, weights: Weights) -> np.ndarray:
+        out = bias.copy()
+        for k in range(INNER):
+            out += weights.inner[k][rows[k], : out.shape[1]]
         out -= out.max(1, keepdims=True)
         return out
 
@@ -273,6 +350,11 @@ class Block:
             small = lo + np.flatnonzero(self.slot[at] >= 0)
             if len(small):
                 log_word[small] = own(self.inner_logits(small, weights), self.slot[small])
+            deep = lo + np.flatnonzero(self.tree["power"][self.codes[at]] >= 0)
+            if len(deep):
+                log_word[deep] = 0
+                for who, rows, bias, child in self.steps(deep):
+                    log_word[deep[who]] += own(self.step_logits(rows, bias, weights), child)
             log_word[at] += own(self.logits(at, weights), self.klass[at])
         base = np.log10((self.counts + 0.1) / (n + 0.1 * (v + 1)))
         first = np.cumsum(self.sizes) - self.sizes
@@ -291,7 +373,11 @@ class Block:
             i = at[lo : lo + BATCH]
             _step(weights.outer, squares.outer, self.features[:, i], self.logits(i, weights), self.label[i], rate)
             # a token whose word would leave its class is no example of the class
-            i = i[(self.slot[i] >= 0) & (self.label[i] == self.klass[i])]
+            i = i[self.label[i] == self.klass[i]]
+            deep, i = i[self.tree["power"][self.codes[i]] >= 0], i[self.slot[i] >= 0]
+            if len(deep):
+                for _, rows, bias, child in self.steps(deep):
+                    _step(weights.inner, squares.inner, rows, self.step_logits(rows, bias, weights), child, rate)
             if len(i):
                 _step(weights.inner, squares.inner, self.near[:, i], self.inner_logits(i, weights), self.slot[i], rate)
         return len(at)
@@ -308,8 +394,10 @@ def _step(weights: np.ndarray, squares: np.ndarray, features: np.ndarray, logits
         edges = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
         gradient = np.add.reduceat(p[order], edges) / np.float32(16)
         rows = f[edges]
-        squares[k][rows] += gradient * gradient
-        weights[k][rows] -= rate * gradient / np.sqrt(squares[k][rows] + np.float32(1))
+        wide = slice(gradient.shape[1])
+        seen = squares[k][rows, wide] + gradient * gradient
+        squares[k][rows, wide] = seen
+        weights[k][rows, wide] -= rate * gradient / np.sqrt(seen + np.float32(1))
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -390,9 +478,13 @@ def score_documents(docs: DataFrame, folds: int = 10, rounds: int = 3, rate: flo
         words = blocks.select("block", F.posexplode(F.arrays_zip("hashes", "train")).alias("position", "x")).select("block", "position", F.col("x.hashes").alias("hash"), F.col("x.train").alias("train"))
         vocabulary = staging.write(words.groupBy("hash").agg(F.sum("train").alias("c")).where("c > 0"), "vocabulary")
         model = _classes(vocabulary)
-        counts = words.select("block", "position", "hash").join(vocabulary, "hash").groupBy("block").agg(F.collect_list("position").alias("positions"), F.collect_list("c").alias("counts"))
+        placed = vocabulary.withColumn("place", F.lit(0).cast("long"))
+        if model.large:
+            placed = staging.write(model.place(vocabulary), "placed")
+            model.widest = int(placed.agg(F.max("place")).first()[0]) >> LEAF
+        counts = words.select("block", "position", "hash").join(placed, "hash").groupBy("block").agg(*(F.collect_list(c).alias(n) for c, n in (("position", "positions"), ("c", "counts"), ("place", "places"))))
         empty: Column = F.array().cast("array<int>")
-        joined = blocks.drop("train").join(counts, "block", "left").withColumns({"positions": F.coalesce("positions", empty), "counts": F.coalesce("counts", empty.cast("array<long>"))})
+        joined = blocks.drop("train").join(counts, "block", "left").withColumns({"positions": F.coalesce("positions", empty), "counts": F.coalesce("counts", empty.cast("array<long>")), "places": F.coalesce("places", empty.cast("array<long>"))})
         ready = staging.write(joined, "ready")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
