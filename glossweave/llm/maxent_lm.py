@@ -9,14 +9,14 @@ of two that ``SPLIT`` words or fewer have is split by hash into classes of some
 over the class's words, of their frequency as bias and hashed features (the class
 with the last word, and with the last two).  A class of more words is a tree: a
 part of the power of two (``SUBS`` of equal width, their masses as bias), then the
-digits, to base ``BASE``, of a leaf's number, which is a hash of the word, then the
-word in its leaf of some ``MEMBERS`` words.  Each node is a softmax with the same two
-features, so every word of the vocabulary has trained factors of its own; a leaf
+digits, to base ``BASE``, of a leaf's number, which is a hash of the word, then those
+of the word's place in its leaf of some ``LEAF_WORDS`` words.  Each node is a softmax with the
+same two features, so every word of the vocabulary has trained factors of its own; a leaf
 without a word takes its share of the probability with it.  The first factor is a softmax of a bias and hashed features: the
 last word, the last two words, and the word before the last (a skip).
 
 The rows of hashed features grow with the square root of the training tokens, from
-2**8 to 2**``MAX_BITS`` a kind, so the weights stay a bounded broadcast; the counts
+2**8 to 2**``MAX_BITS`` a kind (twice that in the trees), so the weights stay a bounded broadcast; the counts
 grow with the vocabulary and are never broadcast.
 
 A training token's label is the class that its word would have without this
@@ -24,9 +24,10 @@ token (leave one out), so the mass of unseen and rare words is what held-out
 text needs.  The probabilities of the V + 1 events sum to one at most.
 
 Training: every task takes the current weights and goes through its documents in
-mini-batches (Adagrad); the changes, weighted by tokens, are averaged over the
+mini-batches (Adagrad with one rate for a row of weights); the changes, weighted by tokens, are averaged over the
 tasks in a tree of streamed means and added.  Each round takes its own part of
-the documents, so after all rounds each training document was used once.
+the documents, so after all rounds each training document was used once; blocks
+are split into these parts before, so a round reads no others.
 
 Words are known by a 64-bit hash.  Documents are packed in blocks of about
 ``block_tokens`` tokens with a dictionary of their own; counts meet the blocks by
@@ -43,6 +44,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -57,9 +59,14 @@ END = np.uint64(0x9D5C3B1A70F2E846)  # the end token's hash
 START = np.uint64(0x1F83D9ABFB41BD6B)
 KINDS, INNER, MAX_BITS = 3, 2, 15
 HEAD_SHARE, SPLIT, MEMBERS = 32, 256, 24
-SUBS, BASE, LEAF = 8, 16, 20  # parts of a power of two, children of a node, bits of a place in a leaf
-BATCH, FAN = 4096, 32
+BITS, LEAF = 4, 20  # of a digit, of a place in a leaf
+SUBS = BASE = 1 << BITS  # parts of a power of two, children of a node
+LEAF_WORDS = 10  # of a tree, on average
+EVEN = 4096  # a node over more leaves has children of about equal shares
+BATCH, FEW, FAN = 1 << 14, 64, 32
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 BLOCKS = "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, codes binary, hashes array<long>, train array<int>"
+PARTS = "part int, doc_ids array<long>, sizes array<int>, codes binary, hashes binary, counts binary, places binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -116,13 +123,17 @@ class Classes:
     slots: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # their places in their classes
     inner: np.ndarray = field(default_factory=lambda: np.zeros((1, 1), np.float32))  # log shares by class and place
     tree: np.ndarray = field(default_factory=lambda: np.zeros((64, SUBS, 2), np.int64))  # mass and leaves of the parts of large classes
-    widest: int = 1  # words of the largest leaf
 
     @property
     def bits(self) -> int:
         """Of a hashed feature."""
         return min(max(round(math.log2(self.n + 1) / 2), 8), MAX_BITS)
 
+    @property
+    def tree_bits(self) -> int:
+        """Of a hashed feature in the trees; a token has several nodes there."""
+        return self.bits + 1
+
     def of(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Classes; 0 is the unseen words'."""
         first, parts = np.zeros(64, np.int64), np.ones(64, np.int64)
@@ -150,6 +161,15 @@ class Classes:
         """Powers of two whose class is a tree."""
         return np.flatnonzero(self.tree[:, :, 1].any(1)).tolist()
 
+    @cached_property
+    def shares(self) -> np.ndarray:
+        """Log shares of a node's children: of the parts of each power of two, then of the digits of ``EVEN`` numbers or fewer, by the largest number."""
+        out = np.zeros((64 + EVEN, BASE))
+        out[:64, :SUBS] = self.tree[:, :, 0]
+        out[64:] = (np.arange(EVEN)[:, None] - np.arange(BASE)) // BASE + 1
+        with np.errstate(divide="ignore"):
+            return np.log(out / np.maximum(out.sum(1, keepdims=True), 1)).astype(np.float32)
+
     def place(self, vocabulary: DataFrame) -> DataFrame:
         """(hash, c, place): of a word in a tree its place in its leaf and, shifted by ``LEAF`` bits, the leaf's words; else 0."""
         b = _power(F.col("c"))
@@ -186,7 +206,7 @@ def _classes(vocabulary: DataFrame) -> Classes:
     parts = rest.groupBy("b", _sub(F.col("c"), F.col("b")).alias("sub")).agg(F.sum("c").alias("m"), F.count("*").alias("w")).collect()  # 64 * SUBS at most
     for r in parts:
         if r.b not in small:
-            out.tree[r.b, r.sub] = r.m, -(-r.w // MEMBERS)
+            out.tree[r.b, r.sub] = r.m, -(-r.w // LEAF_WORDS)
     n_classes = 1
     for b in sorted(by_bin):
         out.bins[b], out.parts[b] = n_classes, -(-by_bin[b][1] // MEMBERS) if b in small else 1
@@ -226,21 +246,29 @@ def _classes(vocabulary: DataFrame) -> Classes:
 
 @dataclass
 class Weights:
-    """Of the class and of the word in a small class, by hashed feature."""
+    """Of the class, of the child of a tree's node and of the word in a small class, by hashed feature."""
 
     outer: np.ndarray
     inner: np.ndarray
+    small: np.ndarray
 
     @classmethod
     def zeros(cls, model: Classes) -> Weights:
-        return cls(np.zeros((KINDS, 1 << model.bits, len(model.bias)), np.float32), np.zeros((INNER, 1 << model.bits, max(model.inner.shape[1], BASE * bool(model.large), model.widest)), np.float32))
+        table = lambda kinds, width, more=0: np.zeros((kinds, 1 << model.bits + more, width), np.float32)
+        return cls(table(KINDS, len(model.bias)), table(INNER, BASE, model.tree_bits - model.bits) if model.large else table(INNER, 1), table(INNER, model.inner.shape[1]))
+
+    @classmethod
+    def squares(cls, model: Classes) -> Weights:
+        """Adagrad's sums, one for a row of weights."""
+        x = cls.zeros(model)
+        return cls(*(np.zeros(w.shape[:2], np.float32) for w in (x.outer, x.inner, x.small)))
 
     def copy(self) -> Weights:
-        return Weights(self.outer.copy(), self.inner.copy())
+        return Weights(self.outer.copy(), self.inner.copy(), self.small.copy())
 
     def pieces(self) -> list[np.ndarray]:
         """Views of some hundred kilobytes each, in a fixed order."""
-        return [p for w in (self.outer, self.inner) for kind in w for p in np.array_split(kind, max(1, kind.size >> 16))]
+        return [p for w in (self.outer, self.inner, self.small) for kind in w for p in np.array_split(kind, max(1, kind.size >> 16))]
 
 
 @dataclass
@@ -263,12 +291,13 @@ class Block:
     @classmethod
     def read(cls, row: dict, model: Classes) -> Block:
         codes = np.frombuffer(row["codes"], "<i4")
+        sizes = np.asarray(row["sizes"], np.int64)
         hashes = np.asarray(row["hashes"], np.int64).view(np.uint64)
-        counts = np.zeros(len(hashes), np.int64)
-        counts[np.asarray(row["positions"], np.int64)] = np.asarray(row["counts"], np.int64)
+        known = row.get("positions", slice(None))  # of the words that have a count
+        counts, place = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        counts[known], place[known] = row["counts"], row["places"]
         klass = model.of(hashes, counts)
         label = model.of(hashes, np.maximum(counts - 1, 0))
-        sizes = np.asarray(row["sizes"], np.int64)
         first = np.cumsum(sizes) - sizes
         word = hashes[codes]
         last = np.empty_like(word)
@@ -281,72 +310,77 @@ class Block:
         skip[second[sizes > 1]] = START
         shift = np.uint64(64 - model.bits)
         both = K.mix(last * np.uint64(3) + K.mix(skip))
-        row_of = lambda f: ((f * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.uint16)
+        row_of = lambda f: ((f * SPREAD) >> shift).astype(np.uint16)
         features = np.stack([row_of(f) for f in (last, both, skip)])
         mine = K.mix(klass.astype(np.uint64) + np.uint64(11))[codes]
-        near = np.stack([row_of(K.mix(f ^ mine)) for f in (last, both)])
+        near = np.stack([row_of(f ^ mine) for f in (last, both)])
         power = np.frexp(np.maximum(counts, 1))[1] - 1
-        place = np.zeros(len(hashes), np.int64)
-        place[np.asarray(row["positions"], np.int64)] = np.asarray(row["places"], np.int64)
         part = ((counts - (1 << power)) * SUBS >> power) * (place > 0)
-        leaf = ((hashes >> np.uint64(20)) % np.maximum(model.tree[power, part, 1], 1).astype(np.uint64)).astype(np.int64)
-        tree = {"power": np.where(place > 0, power, -1), "part": part, "leaf": leaf, "place": place & (1 << LEAF) - 1, "words": place >> LEAF}
+        leaves = np.maximum(model.tree[power, part, 1], 1)
+        leaf = (hashes >> np.uint64(20)) % leaves.astype(np.uint64)
+        tree = {"power": np.where(place > 0, power, -1), "part": part, "leaf": leaf, "place": place & (1 << LEAF) - 1, "words": place >> LEAF, "leaves": leaves}
+        tree = {n: x.astype(np.int32) for n, x in tree.items()}
         return cls(row, model, sizes, counts[codes], klass[codes].astype(np.int16), label[codes].astype(np.int16), model.slot(hashes, counts)[codes].astype(np.int16), features, near, codes, (last, both), tree)
 
     def logits(self, at: np.ndarray | slice, weights: Weights) -> np.ndarray:
-        out = self.model.bias + weights.outer[0][self.features[0][at]]
+        out = weights.outer[0].take(self.features[0][at], axis=0)
         for k in range(1, KINDS):
-            out += weights.outer[k][self.features[k][at]]
-        out -= out.max(1, keepdims=True)
+            out += weights.outer[k].take(self.features[k][at], axis=0)
+        out += self.model.bias
         return out
 
     def inner_logits(self, at: np.ndarray, weights: Weights) -> np.ndarray:
         """Of the words of each token's class; places that the class doesn't fill are minus infinity."""
-        out = self.model.inner[self.klass[at]]
+        out = self.model.inner.take(self.klass[at], axis=0)
         for k in range(INNER):
-            out += weights.inner[k][self.near[k][at], : out.shape[1]]
-        out -= out.max(1, keepdims=True)
+            out += weights.small[k].take(self.near[k][at], axis=0)
         return out
 
     def steps(self, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Down the trees of the tokens at ``at``: which of them, features, bias of each child, and the child taken."""
+        """Down the trees of the tokens at ``at``: which of them, features, log shares of the children, and the child taken."""
         code = self.codes[at]
-        power, part, leaf, place, words = (self.tree[n][code] for n in ("power", "part", "leaf", "place", "words"))
-        shift = np.uint64(64 - self.model.bits)
-
-        def features(who: np.ndarray, level: int, node: np.ndarray) -> np.ndarray:
-            number = (((power[who] * SUBS + part[who] * (level > 0)) * 64 + level) << 40) + node
-            mine = K.mix(number.astype(np.uint64) + np.uint64(17))
-            return np.stack([((K.mix(f[at[who]] ^ mine) * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.uint16) for f in self.contexts])
-
-        log = lambda x: np.log(np.maximum(x, 1e-300), where=x > 0, out=np.full(x.shape, -np.inf)).astype(np.float32)
-        all_ = np.arange(len(at))
-        yield all_, features(all_, 0, np.zeros(len(at), np.int64)), log(self.model.tree[power, :, 0] / self.model.tree[power, :, 0].sum(1, keepdims=True)), part
-        leaves, level, unit = self.model.tree[power, part, 1], 1, 1
-        who = np.flatnonzero(leaves > 1)
-        while len(who):
-            below = leaf[who] % unit
-            # how many leaves' numbers end in each child's digits
-            under = np.maximum((leaves[who] - 1 - below)[:, None] - np.arange(BASE) * unit, -unit * BASE) // (unit * BASE) + 1
-            yield who, features(who, level, below), log(under / under.sum(1, keepdims=True)), leaf[who] // unit % BASE
-            level, unit = level + 1, unit * BASE
-            who = who[leaves[who] > unit]
-        wide = int(words.max(initial=1))
-        yield all_, features(all_, 63, leaf), log((np.arange(wide) < words[:, None]) / words[:, None]), place
+        power, part = self.tree["power"][code], self.tree["part"][code]
+        contexts = [f[at] for f in self.contexts]
+        shift = np.uint64(64 - self.model.tree_bits)
+        shares = self.model.shares
+
+        def features(who: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
+            return [((f[who] ^ node) * SPREAD >> shift).view(np.int64) for f in contexts]
+
+        node = K.mix(power.astype(np.uint64) + np.uint64(17))
+        yield np.arange(len(at)), features(slice(None), node), shares.take(power, axis=0), part
+        node += part.astype(np.uint64) + np.uint64(1)
+        node *= SPREAD
+        # the digits of the leaf, then those of the place in it, lowest first; numbers up to ``most`` are in use
+        for number, most in (("leaf", "leaves"), ("place", "words")):
+            most = self.tree[most][code] - 1
+            who = np.flatnonzero(most > 0)
+            number, most = self.tree[number][code[who]], most[who]
+            while len(who):
+                here, child = node[who], number & BASE - 1
+                yield who, features(who, here), shares.take(np.minimum(most, EVEN - 1) + 64, axis=0), child
+                here += child.astype(np.uint64) + np.uint64(1)
+                node[who] = here * SPREAD
+                number, most = number >> BITS, most - child >> BITS
+                more = np.flatnonzero(most > 0)
+                who, number, most = who[more], number[more], most[more]
 
     def step_logits(self, rows: np.ndarray, bias: np.ndarray, weights: Weights) -> np.ndarray:
-        out = bias.copy()
+        """Changes ``bias`` into the logits."""
         for k in range(INNER):
-            out += weights.inner[k][rows[k], : out.shape[1]]
-        out -= out.max(1, keepdims=True)
-        return out
+            bias += weights.inner[k].take(rows[k], axis=0)
+        return bias
 
-    def scores(self, weights: Weights) -> pa.RecordBatch:
+    def scores(self, weights: Weights, held: bool) -> pa.RecordBatch:
         n, v = self.model.n, self.model.v
         log_word = np.log(np.maximum(self.counts, 1) / self.model.mass[self.klass])
-        own = lambda z, k: np.take_along_axis(z, k[:, None].astype(np.int64), 1)[:, 0] - np.log(np.exp(z).sum(1))
-        for lo in range(0, len(self.klass), BATCH * 4):
-            at = slice(lo, lo + BATCH * 4)
+
+        def own(z: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+            z, _, total = _exp(z)
+            return z.ravel()[np.arange(len(z)) * z.shape[1] + wanted] - np.log(total)
+
+        for lo in range(0, len(self.klass), BATCH // 2):
+            at = slice(lo, lo + BATCH // 2)
             small = lo + np.flatnonzero(self.slot[at] >= 0)
             if len(small):
                 log_word[small] = own(self.inner_logits(small, weights), self.slot[small])
@@ -360,51 +394,115 @@ class Block:
         first = np.cumsum(self.sizes) - self.sizes
         add = lambda x: np.add.reduceat(x, first)  # noqa: E731  no size is zero
         columns = [
-            (self.row["doc_ids"], pa.int64()), (self.row["held"], pa.bool_()), (self.sizes, pa.int64()), (add((self.counts > 0).astype(np.int64)), pa.int64()),
+            (self.row["doc_ids"], pa.int64()), (np.full(len(first), held), pa.bool_()), (self.sizes, pa.int64()), (add((self.counts > 0).astype(np.int64)), pa.int64()),
             (np.full(len(first), n), pa.int64()), (add(base), pa.float64()), (add(log_word) / np.log(10), pa.float64()),
         ]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], [c.split()[0] for c in SCORES.split(", ")])
 
-    def train(self, weights: Weights, squares: Weights, rate: float, part: int, parts: int) -> int:
-        """Adagrad through this round's training documents; changes the arrays in place."""
-        chosen = ~np.asarray(self.row["held"], bool) & (np.arange(len(self.sizes)) % parts == part)
-        at = np.flatnonzero(np.repeat(chosen, self.sizes))
-        for lo in range(0, len(at), BATCH):
-            i = at[lo : lo + BATCH]
-            _step(weights.outer, squares.outer, self.features[:, i], self.logits(i, weights), self.label[i], rate)
+    def train(self, weights: Weights, squares: Weights, rate: float) -> int:
+        """Adagrad through the block's documents; changes the arrays in place."""
+        for lo in range(0, len(self.klass), BATCH):
+            at = slice(lo, lo + BATCH)
+            _step(weights.outer, squares.outer, self.features[:, at], self.logits(at, weights), self.label[at], rate)
             # a token whose word would leave its class is no example of the class
-            i = i[self.label[i] == self.klass[i]]
+            i = lo + np.flatnonzero(self.label[at] == self.klass[at])
             deep, i = i[self.tree["power"][self.codes[i]] >= 0], i[self.slot[i] >= 0]
             if len(deep):
                 for _, rows, bias, child in self.steps(deep):
                     _step(weights.inner, squares.inner, rows, self.step_logits(rows, bias, weights), child, rate)
             if len(i):
-                _step(weights.inner, squares.inner, self.near[:, i], self.inner_logits(i, weights), self.slot[i], rate)
-        return len(at)
+                _step(weights.small, squares.small, self.near[:, i], self.inner_logits(i, weights), self.slot[i], rate)
+        return len(self.klass)
+
+
+def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits, their exponentials and the sums of these by row; the rows' largest logits are taken off only if that is needed."""
+    ones = np.ones(z.shape[1], np.float32)
+    with np.errstate(over="ignore", invalid="ignore"):
+        e = np.exp(z)
+        total = e @ ones
+    if not (total.min() > 1e-30 and total.max() < 1e30):
+        z = z - z.max(1, keepdims=True)
+        e = np.exp(z)
+        total = e @ ones
+    return z, e, total
+
+
+def _sums(p: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of ``f``, and the sum of the rows of ``p`` that each has."""
+    order = np.argsort(f.astype(np.uint16), kind="stable")
+    f = f[order]
+    ends = np.append(np.flatnonzero(f[1:] != f[:-1]) + 1, len(f))
+    first = np.append(0, ends[:-1])
+    times = ends - first
+    by_times = np.argsort((len(f) - times).astype(np.uint16), kind="stable")
+    first, times = first[by_times], times[by_times]
+    out = p.take(order[first], axis=0)
+    # the k-th row of every value that has one, as long as many do; then the rest of the few values that are left
+    longer = len(times) - np.cumsum(np.bincount(times))
+    k = 1
+    while k < len(longer) and longer[k] > FEW:
+        out[: longer[k]] += p.take(order[first[: longer[k]] + k], axis=0)
+        k += 1
+    if k < len(longer):
+        left = times[: longer[k]] - k
+        rest = order[K.spread(first[: longer[k]] + k, left)]
+        out[: longer[k]] += np.add.reduceat(p.take(rest, axis=0), np.cumsum(left) - left)
+    return f[first], out
 
 
 def _step(weights: np.ndarray, squares: np.ndarray, features: np.ndarray, logits: np.ndarray, wanted: np.ndarray, rate: float) -> None:
-    """One Adagrad step of a softmax on a mini-batch."""
-    p = np.exp(logits)
-    p /= p.sum(1, keepdims=True)
-    p[np.arange(len(p)), wanted] -= 1
+    """One Adagrad step of a softmax on a mini-batch; a row of weights has one rate."""
+    _, p, total = _exp(logits)
+    scale = np.float32(1 / 16)
+    p *= (scale / total)[:, None]
+    p.ravel()[np.arange(len(p)) * p.shape[1] + wanted] -= scale
     for k, f in enumerate(features):
-        order = np.argsort(f, kind="stable")
-        f = f[order]
-        edges = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-        gradient = np.add.reduceat(p[order], edges) / np.float32(16)
-        rows = f[edges]
-        wide = slice(gradient.shape[1])
-        seen = squares[k][rows, wide] + gradient * gradient
-        squares[k][rows, wide] = seen
-        weights[k][rows, wide] -= rate * gradient / np.sqrt(seen + np.float32(1))
+        rows, gradient = _sums(p, f)
+        seen = squares[k].take(rows) + np.einsum("ij,ij->i", gradient, gradient) / np.float32(gradient.shape[1])
+        squares[k][rows] = seen
+        gradient *= (np.float32(rate) / np.sqrt(seen + np.float32(1)))[:, None]
+        whole = weights[k].view(f"V{4 * weights.shape[2]}")[:, 0]
+        whole[rows] = (weights[k].take(rows, axis=0) - gradient).view(whole.dtype)[:, 0]
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def value(name: str, x: pa.Scalar):
+        if name == "doc_ids" or not (pa.types.is_list(x.type) or pa.types.is_binary(x.type)):
+            return x.as_py()
+        if pa.types.is_list(x.type):
+            return x.values.to_numpy(zero_copy_only=False)
+        data = x.as_buffer().to_pybytes()
+        return data if name == "codes" else np.frombuffer(data, "<i8")
+
     for batch in batches:
         for i in range(batch.num_rows):
-            row = {n: batch.column(n)[i] for n in batch.schema.names}
-            yield {n: (x.as_buffer().to_pybytes() if n == "codes" else x.values.to_numpy(zero_copy_only=False) if pa.types.is_list(x.type) and n != "doc_ids" else x.as_py()) for n, x in row.items()}
+            yield {n: value(n, batch.column(n)[i]) for n in batch.schema.names}
+
+
+def _part(rounds: int):
+    """A block's documents by the round that trains on them; those held out are part ``rounds``.  Each part has the words that stand in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            codes, sizes, known = np.frombuffer(row["codes"], "<i4"), row["sizes"], row["positions"]
+            counts, places = np.zeros((2, len(row["hashes"])), "<i8")
+            counts[known], places[known] = row["counts"], row["places"]
+            part_of = np.where(row["held"], rounds, np.arange(len(sizes)) % rounds)
+            for part in range(rounds + 1):
+                mine = part_of == part
+                if mine.any():
+                    own = codes[np.repeat(mine, sizes)]
+                    used = np.zeros(len(counts), bool)
+                    used[own] = True
+                    own = (np.cumsum(used) - 1).astype("<i4")[own]
+                    columns = [
+                        pa.array([part], pa.int32()), pa.array([[x for x, here in zip(row["doc_ids"], mine) if here]], pa.list_(pa.int64())), pa.array([sizes[mine]], pa.list_(pa.int32())),
+                        *(pa.array([x.tobytes()], pa.binary()) for x in (own, row["hashes"][used], counts[used], places[used])),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in PARTS.split(", ")])
+
+    return run
 
 
 CHANGES = "piece int, part int, tokens long, change binary"
@@ -436,21 +534,22 @@ def train(ready: DataFrame, model: Classes, rounds: int, rate: float) -> Weights
     """The weights after all rounds."""
     spark = ready.sparkSession
     weights = Weights.zeros(model)
-    tasks = ready.rdd.getNumPartitions()
     for number in range(rounds if model.n else 0):
+        mine = ready.where(F.col("part") == number)
+        tasks = mine.rdd.getNumPartitions()
         held = spark.sparkContext.broadcast((model, weights))
 
-        def run(batches: Iterator[pa.RecordBatch], held=held, number=number) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             model, start = held.value
-            w, squares, tokens = start.copy(), Weights.zeros(model), 0
+            w, squares, tokens = start.copy(), Weights.squares(model), 0
             for row in _rows(batches):
-                tokens += Block.read(row, model).train(w, squares, rate, number, rounds)
+                tokens += Block.read(row, model).train(w, squares, rate)
             if tokens:
                 change = [(a - b).astype(np.float16).tobytes() for a, b in zip(w.pieces(), start.pieces())]
                 n, task = len(change), TaskContext.get().partitionId()
                 yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([task // FAN] * n, pa.int32()), pa.array([tokens] * n, pa.int64()), pa.array(change, pa.binary())], ["piece", "part", "tokens", "change"])
 
-        means, groups = ready.mapInArrow(run, CHANGES), tasks
+        means, groups = mine.mapInArrow(run, CHANGES), tasks
         while groups:
             # FAN changes come together in a task at a time, level by level
             means = means.repartition("piece", "part").sortWithinPartitions("piece", "part").mapInArrow(_means, CHANGES)
@@ -481,11 +580,11 @@ def score_documents(docs: DataFrame, folds: int = 10, rounds: int = 3, rate: flo
         placed = vocabulary.withColumn("place", F.lit(0).cast("long"))
         if model.large:
             placed = staging.write(model.place(vocabulary), "placed")
-            model.widest = int(placed.agg(F.max("place")).first()[0]) >> LEAF
         counts = words.select("block", "position", "hash").join(placed, "hash").groupBy("block").agg(*(F.collect_list(c).alias(n) for c, n in (("position", "positions"), ("c", "counts"), ("place", "places"))))
         empty: Column = F.array().cast("array<int>")
         joined = blocks.drop("train").join(counts, "block", "left").withColumns({"positions": F.coalesce("positions", empty), "counts": F.coalesce("counts", empty.cast("array<long>")), "places": F.coalesce("places", empty.cast("array<long>"))})
-        ready = staging.write(joined, "ready")
+        parts = max(rounds, 1)
+        ready = staging.write(joined.mapInArrow(_part(parts), PARTS), "ready", partition_by="part")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
     staging.keep("ready")
@@ -495,6 +594,6 @@ def score_documents(docs: DataFrame, folds: int = 10, rounds: int = 3, rate: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, weights = held.value
         for row in _rows(batches):
-            yield Block.read(row, model).scores(weights)
+            yield Block.read(row, model).scores(weights, row["part"] == parts)
 
     return ready.mapInArrow(run, SCORES)
